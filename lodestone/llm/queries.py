@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, prefix_bpe, token_files
+from . import near_join, packing, prefix_bpe, spans, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read(token_files.all_keys(docs)).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    kept = spans.remove_spans(docs, spans.repeated_spans(docs, k=13), joined=True)
+    return kept.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op4_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_join.near_components(_docs(spark, sf_dir), k=4, percent=85)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
     return packing.pack(pieces, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -31,5 +42,5 @@ def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_files, op6_genetic_packing, op9_prefix_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_files, op3_debruijn_spans, op4_divideskip_join, op6_genetic_packing, op9_prefix_bpe)}
 SQL: dict[str, str] = {}
