@@ -1,6 +1,6 @@
 """Quality classifier: a factorisation machine (operator 10).
 
-Features of a text: its lower-cased words, hashed to 8192 places, weighted by 1 + log(count) and scaled to unit length; and statistics of
+Features of a text: its lower-cased words, hashed to 8192 places, weighted by 1 + log(count) and scaled to length 0.5; and statistics of
 its structure (length, shares of signs, capitals, digits, bars, exclamation marks, lines, distinct words, mean word length), each as one of
 16 steps. The score is the logistic of a bias, a weight for each feature, and for each pair of features the product of their low-rank factors,
 computed in linear time: the sum over pairs is half of (square of the sum - sum of the squares), factor by factor.
@@ -41,7 +41,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     value = 1 + np.log(count)
     n_docs = len(bounds) - 1
     norm = np.sqrt(np.bincount(doc, value**2, n_docs))
-    value = value / norm[doc]
+    value = 0.5 * value / norm[doc]
 
     start, end = bounds[:-1], bounds[1:]
 
@@ -68,7 +68,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     steps = np.clip(np.column_stack(stats), 0, STEPS - 1).astype(np.int64) + WORDS + STEPS * np.arange(_STATISTICS)
     doc = np.concatenate([doc, np.repeat(np.arange(n_docs), _STATISTICS)])
     feature = np.concatenate([feature, steps.ravel()])
-    value = np.concatenate([value, np.full(steps.size, 0.5)])
+    value = np.concatenate([value, np.ones(steps.size)])
     order = np.argsort(doc, kind="stable")
     return doc[order], feature[order], value[order]
 
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     lists = got.column("feature").combine_chunks()
     offsets = lists.offsets.to_numpy()
     feature, value = lists.values.to_numpy(), got.column("value").combine_chunks().values.to_numpy()
-    machine.bias = float(np.log(y.mean() / (1 - y.mean())))
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both labels weigh the same
     # steps by AdaGrad
     g_bias, g_weights, g_factors = 1e-8, np.full(SIZE, 1e-8), np.full((SIZE, RANK), 1e-8)
     for _ in range(max(PASSES, -(-LEAST_STEPS * BATCH // len(y)))):
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
             total = np.stack([np.bincount(doc, v[:, f], len(part)) for f in range(RANK)], axis=1)
             square = np.stack([np.bincount(doc, v[:, f] ** 2, len(part)) for f in range(RANK)], axis=1)
             z = machine.bias + np.bincount(doc, machine.weights[j] * x, len(part)) + 0.5 * (total**2 - square).sum(1)
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
             d_weights = np.bincount(j, error[doc] * x, SIZE)
             slope = error[doc, None] * x[:, None] * (total[doc] - v)
             touched, inverse = np.unique(j, return_inverse=True)
