@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, scratch
 from .tokens import library_encoder
 
-#: Bytes of ids in a shard (a longer document has a shard of its own), of text in a task, and keys in a bucket.
-SHARD_BYTES, TASK_BYTES, BUCKET_KEYS = 8 << 20, 32 << 20, 50_000
+#: Bytes of ids in a shard (a longer document has a shard of its own), and keys in a bucket.
+SHARD_BYTES, BUCKET_KEYS = 8 << 20, 50_000
 
 _SHARDS = "shard long, n_tokens long, payload binary, keys array<long>, offsets array<long>, lengths array<long>"
 _INDEX = "bucket long, sizes array<int>, bits binary, fingerprints binary, shard binary, offset binary, n_tokens binary, start binary"
@@ -152,12 +152,11 @@ class TokenFiles:
         return self.locate(keys).groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_fetch(self.width), "key long, ordinal long, n_tokens long, start long, ids binary")
 
 
-def write_token_files(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> TokenFiles:
+def write_token_files(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> TokenFiles:
     """Encodes, writes and indexes all rows of docs; see the module's docstring."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / task_bytes))
+    parts = max(1, rows.rdd.getNumPartitions())  # as many as the table is read in
     name = f"token_ids_{uuid.uuid4().hex}"
     ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
     ranged.mapInArrow(_write(file, end_id, shard_bytes), _SHARDS).write.format("parquet").option("path", scratch(spark, "token-ids")).option("compression", "zstd").bucketBy(parts, "shard").saveAsTable(name)

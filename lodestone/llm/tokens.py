@@ -14,12 +14,26 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
 #: Pieces whose ids a Python worker keeps; then it starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 800_000
+#: Letters of Latin-1, then ASCII signs but the apostrophe: for these the pre-tokenizers' matches are plain, the letters and the signs.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_marks() -> list[str]:
+    """How byte-level tokenizers write bytes as characters: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+_BYTE_MARK = _byte_marks()
+_SPACE_MARK = _BYTE_MARK[0x20]
 _SAFE = re.compile(rb"(?= [^\x00-\x20\xc2\xe1\xe2\xe3])")
 
 
@@ -47,54 +61,53 @@ def odd_spacing(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """ids of texts as little-endian bytes; encode takes new pieces (UTF-8) and gives their ids as such bytes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], cut: str, newline: bytes = b""):
+    def __init__(self, encode: Callable[..., list[bytes]], cut: str, newline: bytes = b""):
         self.encode, self.cut, self.newline = encode, cut, newline
-        self.first: dict[bytes, bytes] = {}
-        self.rest: dict[bytes, bytes] = {}
-
-    def _learn(self, known: dict[bytes, bytes], pieces: set[bytes], lead: bytes = b"") -> None:
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        new = list(pieces - known.keys() if len(known) else pieces)
-        known.update(zip(new, self.encode([lead + p for p in new] if lead else new), strict=True))
+        self.known: dict[bytes, bytes] = {}
+
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        if self.cut == "words":
+            return self.encode(pieces)
+        # After a newline a piece stands alone; else the space before it belongs to it.
+        heads = iter(self.encode([p[1:] for p in pieces if p[:1] == b"\n"]))
+        tails = iter(self.encode([p for p in pieces if p[:1] != b"\n"], b" "))
+        return [self.newline + next(heads) if p[:1] == b"\n" else next(tails) for p in pieces]
+
+    def _ids(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of pieces, joined."""
+        if len(self.known) > KEPT_PIECES:
+            self.known.clear()
+        get = self.known.get
+        found = [list(map(get, pieces)) for pieces in texts]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        new = list({p for i in lacking for p, ids in zip(texts[i], found[i], strict=True) if ids is None})
+        if new:
+            self.known.update(zip(new, self._new(new), strict=True))
+            for i in lacking:
+                found[i] = list(map(get, texts[i]))
+        return list(map(b"".join, found))
 
     def chunk(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The ids of each text data[bounds[i]:bounds[i + 1]]."""
         raw = data.tobytes()
         texts = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        out: list[bytes] = []
         if self.cut == "whole":
             return self.encode(texts)
         odd = odd_spacing(data, bounds).tolist() if self.cut == "spaced" else []
+        out: list[bytes] = []
         for at in range(0, len(texts), 256):
             group = texts[at : at + 256]
             if self.cut == "words":
-                words = [t.split() for t in group]
-                self._learn(self.first, set().union(*words))
-                get = self.first.__getitem__
-                out += [b"".join(map(get, w)) for w in words]
+                out += self._ids([t.split() for t in group])
                 continue
-            heads: set[bytes] = set()
-            tails: set[bytes] = set()
-            cut: list = []
+            pieces = []
             for text, strange in zip(group, odd[at : at + 256], strict=True):
-                if strange or not text:
-                    pieces = [p for p in _SAFE.split(text) if p]
-                    heads.update(pieces)
-                    cut.append(pieces)
-                else:
-                    lines = [line.split(b" ") for line in text.split(b"\n")]
-                    for line in lines:
-                        heads.add(line[0])
-                        tails.update(line[1:])
-                    cut.append(lines)
-            self._learn(self.first, heads)
-            self._learn(self.rest, tails, b" ")
-            first, rest = self.first.__getitem__, self.rest.__getitem__
-            for parts in cut:
-                if parts and isinstance(parts[0], list):
-                    out.append(self.newline.join([first(line[0]) + b"".join(map(rest, line[1:])) for line in parts]))
+                if strange:
+                    first, *further = _SAFE.split(text)
+                    pieces.append([b"\n" + first, *(p[1:] for p in further)])
                 else:
-                    out.append(b"".join(map(first, parts)))
+                    pieces.append((b"\n" + text.replace(b"\n", b" \n")).split(b" "))
+            out += [ids[len(self.newline) :] for ids in self._ids(pieces)]
         return out
 
 
@@ -121,16 +134,58 @@ def library_encoder(file: str) -> tuple[PieceEncoder, np.dtype]:
     if file not in _loaded:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(file)
+        tokenizer, marked = Tokenizer.from_file(file), Tokenizer.from_file(file)
         tokenizer.encode_special_tokens = True
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-        def encode(pieces: list[bytes]) -> list[bytes]:
+        special = {t.content: i for i, t in marked.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        strings = [t.content for t in marked.get_added_tokens_decoder().values()]
+        mark, mark_id = next(iter(special.items()), ("", -1))
+        cut, model, parts = kind(file), tokenizer.model, {}
+        fold, code = cut == "words", "H" if dtype.itemsize == 2 else "I"
+
+        def apart(pieces: list[str]) -> list[bytes]:
+            """Any pieces, many in one call; a special token tells them apart, unless such a token's string stands in the text."""
             found: list[bytes] = []
             for at in range(0, len(pieces), 4096):
-                part = [p.decode() for p in pieces[at : at + 4096]]
-                found += [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                part = pieces[at : at + 4096]
+                joined = "\0".join(part)
+                if mark and "" not in part and not any(x in joined for x in strings):
+                    ids = np.array(marked.encode(mark.join(part), add_special_tokens=False).ids, dtype=dtype)
+                    cuts = np.flatnonzero(ids == mark_id)
+                    raw, size = ids.tobytes(), dtype.itemsize
+                    found += [raw[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)], strict=True)]
+                else:
+                    found += [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             return found
 
-        _loaded[file] = PieceEncoder(encode, kind(file), encode([b"\n"])[0]), dtype
+        def run_of(text: str) -> bytes:
+            """The ids of one match of the pre-tokenizer, by the library's merges alone."""
+            mapped = text.replace(" ", _SPACE_MARK) if text.isascii() else "".join(map(_BYTE_MARK.__getitem__, text.encode()))
+            return array(code, [t.id for t in model.tokenize(mapped)]).tobytes()
+
+        def encode(pieces: list[bytes], lead: bytes = b"") -> list[bytes]:
+            out: list[bytes | None] = []
+            other: list[str] = []
+            front = lead.decode()
+            for piece in pieces:
+                text = piece.decode()
+                simple = _SIMPLE.fullmatch(text) if cut != "whole" else None
+                if simple is None:
+                    other.append(front + text)
+                    out.append(None)
+                    continue
+                letters, signs = simple.groups()
+                ids = run_of(front + (letters.lower() if fold else letters))
+                if signs:
+                    tail = parts.get(signs)
+                    if tail is None:
+                        tail = run_of(signs)
+                        if len(parts) < 10_000:
+                            parts[signs] = tail
+                    ids += tail
+                out.append(ids)
+            rest = iter(apart(other))
+            return [next(rest) if ids is None else ids for ids in out]
+
+        _loaded[file] = PieceEncoder(encode, cut, apart(["\n"])[0]), dtype
     return _loaded[file]
