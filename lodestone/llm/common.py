@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 _OWN = f"file:///tmp/spark-shared-{uuid.uuid4().hex}"
 #: Bytes of text that a kernel takes at once (or one document, if that is longer).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
