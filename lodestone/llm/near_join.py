@@ -33,7 +33,7 @@ from .common import Words, chunks, components, grams, lower_ascii, mix, signed,
 from .common import _STEP, _STEP_INV
 
 #: Sets in a chunk of a block; share of a set, in percent, by which the lists of step 2 are longer than they must.
-CHUNK, MARGIN = 1000, 15
+CHUNK, MARGIN = 500, 15
 
 
 def _need(n, percent: int):
@@ -222,7 +222,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     parts = measured.join(reach, "block").where(F.expr(f"outer or far >= nearest - (1 - {percent} / 100) - 1e-9")).groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     dealt = taking.join(parts, "block").withColumn("side", F.pmod(F.hash("key"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "key", "side", "outer", "far", "tokens")
-    found = dealt.groupBy("block", "i", "j").applyInArrow(_search(percent), "a long, b long")
+    # Dealt by the pair of chunks; else the joins' partitioning by block would keep a block's pairs in one task.
+    found = dealt.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(_search(percent), "a long, b long")
 
     # 6. components
     own = classes.join(mixed, "key").where("key <> cls").select(F.col("key").alias("a"), F.col("cls").alias("b"))
