@@ -38,6 +38,7 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self.longest = max(map(len, ranks), default=1)
         self._beside: dict[tuple[int, int], bool] = {}
 
@@ -62,22 +63,30 @@ class PrefixBpe:
 
     def extend(self, text: bytes, last: list[int], until: int | None = None) -> None:
         """Goes on with last, the last tokens of the prefixes of 1, 2, ... bytes, up to the whole text."""
-        ranks, bytes_of, beside = self.ranks, self.bytes_of, self.beside
+        rank, known, beside, longest = self.ranks.get, self._beside.get, self.beside, self.longest
         for end in range(len(last) + 1, (len(text) if until is None else until) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(text[start:end])
-                if token is not None and (start == 0 or beside(last[start - 1], token)):
-                    last.append(token)
-                    break
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank(text[start:end])
+                if token is None:
+                    continue
+                if start:
+                    left = last[start - 1]
+                    fits = known((left, token))
+                    if not (beside(left, token) if fits is None else fits):
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError(f"no token for byte {text[end - 1]}")
 
     def read_off(self, text: bytes, last: list[int]) -> list[int]:
-        out, at = [], len(text)
+        out, at, size = [], len(text), self.size_of
         while at:
-            out.append(last[at - 1])
-            at -= len(self.bytes_of[last[at - 1]])
-        return out[::-1]
+            token = last[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -134,8 +143,8 @@ def piece_encoder(file: str, pattern: str = SPACED_PATTERN) -> tuple[PieceEncode
         bpe, cut = PrefixBpe(load_ranks(file)), regex.compile(pattern)
         one = bpe.encode
 
-        def encode(pieces: list[bytes]) -> list[bytes]:
-            return [np.array([i for match in cut.findall(p.decode()) for i in one(match.encode())], dtype="<u4").tobytes() for p in pieces]
+        def encode(pieces: list[bytes], lead: bytes = b"") -> list[bytes]:
+            return [np.array([i for match in cut.findall((lead + p).decode()) for i in one(match.encode())], dtype="<u4").tobytes() for p in pieces]
 
         _loaded[file, pattern] = PieceEncoder(encode, "spaced" if pattern == SPACED_PATTERN else "whole", encode([b"\n"])[0]), bpe
     return _loaded[file, pattern]
