@@ -94,14 +94,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds, _ in chunks(batch, "__text"):
             doc, feature, value = features(data, bounds)
             cuts = pa.array(np.searchsorted(doc, np.arange(len(rows) + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.ListArray.from_arrays(cuts, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(value, pa.float64()))], names=["label", "feature", "value"])
+            yield pa.RecordBatch.from_arrays([rows.column("order"), rows.column("label"), pa.ListArray.from_arrays(cuts, pa.array(feature, pa.int16())), pa.ListArray.from_arrays(cuts, pa.array(value, pa.float32()))], names=["order", "label", "feature", "value"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, seed: int = 1) -> Machine:
     """Learns from at most sample of the labelled rows for which usable holds. Only the label column of labels is read beside the key."""
     chosen = labels.where(usable & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__key"), "__key", "label").limit(sample)
-    rows = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text")).join(F.broadcast(chosen), "__key").orderBy(F.xxhash64("__key"), F.xxhash64("__text"), "label").limit(2 * sample)
-    got = rows.select("label", "__text").mapInArrow(_featured, "label int, feature array<int>, value array<double>").toArrow().combine_chunks()
+    rows = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text")).join(F.broadcast(chosen), "__key").select(F.xxhash64("__key", "label").alias("order"), "label", "__text")
+    # Features, not texts, go to the driver, and no more rows than the bound even if keys repeat.
+    got = rows.mapInArrow(_featured, "order long, label int, feature array<smallint>, value array<float>").limit(2 * sample).toArrow().combine_chunks().sort_by("order")
     rng = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, RANK)))
     y = got.column("label").to_numpy().astype(float)
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
         return machine
     lists = got.column("feature").combine_chunks()
     offsets = lists.offsets.to_numpy()
-    feature, value = lists.values.to_numpy(), got.column("value").combine_chunks().values.to_numpy()
+    feature, value = lists.values.to_numpy().astype(np.int64), got.column("value").combine_chunks().values.to_numpy()
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both labels weigh the same
     # steps by AdaGrad
     g_bias, g_weights, g_factors = 1e-8, np.full(SIZE, 1e-8), np.full((SIZE, RANK), 1e-8)
