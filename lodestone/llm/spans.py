@@ -113,8 +113,9 @@ def _paths(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for key, row in zip(batch.column("key").to_pylist(), batch.column("places"), strict=True):
+            cols: list[list] = [[], [], []]
+            cuts = [0]
+            for row in batch.column("places"):
                 v = row.values
                 at, source, path = (v.field(i).to_numpy() for i in range(3))
                 order = np.argsort(at, kind="stable")
@@ -123,16 +124,18 @@ def _paths(k: int):
                 at, source, path = at[keep], source[keep], path[keep]
                 new = np.r_[True, (at[1:] != at[:-1] + 1) | (path[1:] != path[:-1]) | (source[1:] != source[:-1])]
                 first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(at))) + k - 1
-                for column, x in zip(cols, ([key] * len(first), at[first].tolist(), n.tolist(), source[first].tolist()), strict=True):
-                    column += x
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["key", "start", "n_words", "source"])
+                for column, x in zip(cols, (at[first], np.diff(np.append(first, len(at))) + k - 1, source[first]), strict=True):
+                    column.append(x)
+                cuts.append(cuts[-1] + len(first))
+            kinds = {"start": pa.int32(), "n_words": pa.int32(), "source": pa.int64()}
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *c]), t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names=["key", "spans"])
 
     return run
 
 
 class Repeats:
-    """What repeats in a table: copies (key, digest, source) of whole texts, and spans (key, start, n_words, source)."""
+    """What repeats in a table: copies (key, digest, source) of whole texts, and spans (key, array of start, n_words, source)."""
 
     def __init__(self, copies: DataFrame, spans: DataFrame, clashing: DataFrame, k: int):
         self.copies, self.spans, self.clashing, self.k = copies, spans, clashing, k
@@ -164,7 +167,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last"), F.count("*").alias("n"), F.sum("at").alias("places"), F.bit_xor(F.xxhash64("key")).alias("who")).where("source < last")
     path = F.hash("n", "who", F.col("places") - F.col("n") * F.col("at")).alias("path")
     later = edges.join(known.drop("last"), ["e", "c"]).where("key > source").select("key", F.struct("at", "source", path).alias("p"))
-    spans = later.groupBy("key").agg(F.collect_list("p").alias("places")).mapInArrow(_paths(k), "key long, start int, n_words int, source long")
+    spans = later.groupBy("key").agg(F.collect_list("p").alias("places")).mapInArrow(_paths(k), "key long, spans array<struct<start:int,n_words:int,source:long>>")
     return Repeats(copies, table(spans, "spans"), clashing, k)
 
 
@@ -175,7 +178,7 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     behind it, and texts of which nothing is removed stay as they are.
     """
     k = repeats.k
-    cuts = repeats.spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("end")))).alias("__cuts"))
+    cuts = repeats.spans.select("key", F.expr("array_sort(transform(spans, s -> struct(s.start as start, s.start + s.n_words as end)))").alias("__cuts"))
     # [start, end) of spans, joined where they touch
     merge = """aggregate(__cuts, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).end >= x.start,
