@@ -62,82 +62,101 @@ def cut_documents(docs: DataFrame, file: str, capacity: int = 1024, end_id: int
 # ---- a block's packings ----------------------------------------------------------------------------------------------
 
 
+class Packing:
+    """Bins, the fullest first, and the room that is left in each. Bins are shared between packings and never changed."""
+
+    def __init__(self, bins: Bins, rooms: list[int], capacity: int):
+        self.bins, self.rooms = bins, rooms
+        # Fewer bins first; then fuller ones, by the mean square of the filling.
+        self.fitness = -len(bins), sum(((capacity - r) / capacity) ** 2 for r in rooms) / max(1, len(bins))
+
+
+def _fitness(packing: Packing) -> tuple[int, float]:
+    return packing.fitness
+
+
 class Block:
     def __init__(self, lengths: list[int], capacity: int):
         self.lengths, self.capacity = lengths, capacity
         self.least = max(math.ceil(sum(lengths) / capacity), sum(2 * x > capacity for x in lengths))
+        self.falling = sorted(range(len(lengths)), key=lambda p: -lengths[p])
+        self.rank = [0] * len(lengths)
+        for i, p in enumerate(self.falling):
+            self.rank[p] = i
 
-    def room(self, one: list[int]) -> int:
-        return self.capacity - sum(map(self.lengths.__getitem__, one))
+    def packing(self, bins: Bins) -> Packing:
+        return self.best_fit(bins, [self.capacity - sum(map(self.lengths.__getitem__, one)) for one in bins], [])
 
-    def best_fit(self, bins: Bins, pieces: list[int]) -> Bins:
+    def best_fit(self, bins: Bins, rooms: list[int], pieces: list[int]) -> Packing:
         """Puts each piece into the fullest bin that takes it. Bit r of the mask is set if a bin has room r."""
-        by_room: dict[int, list[list[int]]] = {}
-        mask = 0
-        for one in bins:
-            r = self.room(one)
-            by_room.setdefault(r, []).append(one)
-            mask |= 1 << r
-        out = list(bins)
+        by_room: dict[int, Bins] = {}
+        mask, lengths, capacity = 0, self.lengths, self.capacity
+        for r, one in zip(rooms, bins, strict=True):
+            if r in by_room:
+                by_room[r].append(one)
+            else:
+                by_room[r] = [one]
+                mask |= 1 << r
         for p in pieces:
-            size = self.lengths[p]
+            size = lengths[p]
             above = mask >> size
             if above:
                 r = size + (above & -above).bit_length() - 1
-                one = by_room[r].pop()
-                if not by_room[r]:
-                    mask &= ~(1 << r)
+                same = by_room[r]
+                one = [*same.pop(), p]
+                if not same:
+                    del by_room[r]
+                    mask ^= 1 << r
+            else:
+                r, one = capacity, [p]
+            r -= size
+            if r in by_room:
+                by_room[r].append(one)
             else:
-                r, one = self.capacity, []
-                out.append(one)
-            one.append(p)
-            by_room.setdefault(r - size, []).append(one)
-            mask |= 1 << (r - size)
-        return out
-
-    def falling(self, pieces: list[int]) -> list[int]:
-        return sorted(pieces, key=lambda p: (-self.lengths[p], p))
-
-    def fitness(self, bins: Bins) -> tuple[int, float]:
-        """Fewer bins first; then fuller ones, by the mean square of the filling."""
-        return -len(bins), sum(((self.capacity - self.room(b)) / self.capacity) ** 2 for b in bins) / max(1, len(bins))
-
-    def cross(self, mother: Bins, father: Bins, rng: random.Random) -> Bins:
-        ranked = sorted(father, key=self.room)
-        injected = [list(b) for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5]
-        taken = {p for b in injected for p in b}
+                by_room[r] = [one]
+                mask |= 1 << r
+        out: Bins = []
+        left: list[int] = []
+        for r in sorted(by_room):
+            out += by_room[r]
+            left += [r] * len(by_room[r])
+        return Packing(out, left, capacity)
+
+    def cross(self, mother: Packing, father: Packing, rng: random.Random) -> Packing:
+        chosen = [i for i in range(max(1, len(father.bins) // 2)) if rng.random() < 0.5]
+        bins, rooms = [father.bins[i] for i in chosen], [father.rooms[i] for i in chosen]
+        taken = {p for b in bins for p in b}
         displaced: list[int] = []
-        kept: Bins = []
-        for b in mother:
+        for b, r in zip(mother.bins, mother.rooms, strict=True):
             if taken.isdisjoint(b):
-                kept.append(list(b))
+                bins.append(b)
+                rooms.append(r)
             else:
                 displaced += [p for p in b if p not in taken]
-        return self.best_fit(injected + kept, self.falling(displaced))
+        return self.best_fit(bins, rooms, sorted(displaced, key=self.rank.__getitem__))
 
-    def mutate(self, bins: Bins, rng: random.Random) -> Bins:
-        ranked = sorted(bins, key=self.room)
-        cut = max(0, len(ranked) - max(2, len(ranked) // 20))
-        loose = [p for b in ranked[cut:] for p in b]
+    def mutate(self, packing: Packing, rng: random.Random) -> Packing:
+        cut = max(0, len(packing.bins) - max(2, len(packing.bins) // 20))
+        loose = [p for b in packing.bins[cut:] for p in b]
         rng.shuffle(loose)
-        return self.best_fit([list(b) for b in ranked[:cut]], loose)
+        return self.best_fit(packing.bins[:cut], packing.rooms[:cut], loose)
 
-    def evolve(self, population: list[Bins], rng: random.Random, generations: int, size: int) -> list[Bins]:
-        while len(population) < size and (not population or len(population[0]) > self.least):
-            order = self.falling(list(range(len(self.lengths))))
+    def evolve(self, population: list[Packing], rng: random.Random, generations: int, size: int) -> list[Packing]:
+        while len(population) < size and (not population or len(population[0].bins) > self.least):
+            order = self.falling
             if population:
-                order.sort(key=lambda p: -self.lengths[p] * rng.uniform(0.9, 1.1))
-            population = sorted([*population, self.best_fit([], order)], key=self.fitness, reverse=True)
-        population = sorted(population, key=self.fitness, reverse=True)
+                order = sorted(order, key=lambda p: -self.lengths[p] * rng.uniform(0.9, 1.1))
+            population = sorted([*population, self.best_fit([], [], order)], key=_fitness, reverse=True)
+        population = sorted(population, key=_fitness, reverse=True)
         for _ in range(generations):
-            if len(population[0]) <= self.least:
+            if len(population[0].bins) <= self.least:
                 break
             born = []
             for _ in range(size):
                 mother, father = (min(rng.randrange(len(population)), rng.randrange(len(population))) for _ in range(2))
                 child = self.cross(population[mother], population[father], rng)
                 born.append(self.mutate(child, rng) if rng.random() < 0.3 else child)
-            population = sorted([*population, *born], key=self.fitness, reverse=True)[:size]
+            population = sorted([*population, *born], key=_fitness, reverse=True)[:size]
         return population
 
 
@@ -161,7 +180,7 @@ def _epoch(capacity: int, epoch: int):
         items = items.sort_values("uid")
         block = Block(items["length"].astype(int).tolist(), capacity)
         rng = random.Random(f"{key[0]} {key[1]} {epoch}")
-        best = block.evolve([_bins(g) for g in elites["genome"]], rng, GENERATIONS, POPULATION)[0]
+        best = block.evolve([block.packing(_bins(g)) for g in elites["genome"]], rng, GENERATIONS, POPULATION)[0].bins
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "bins": [len(best)], "genome": [_genome(best, len(items))]})
 
     return run
