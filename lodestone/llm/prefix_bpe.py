@@ -143,10 +143,10 @@ def piece_encoder(file: str, pattern: str = SPACED_PATTERN) -> tuple[PieceEncode
         bpe, cut = PrefixBpe(load_ranks(file)), regex.compile(pattern)
         one = bpe.encode
 
-        def encode(pieces: list[bytes], lead: bytes = b"") -> list[bytes]:
-            return [np.array([i for match in cut.findall((lead + p).decode()) for i in one(match.encode())], dtype="<u4").tobytes() for p in pieces]
+        def encode(piece: bytes, lead: bytes = b"") -> bytes:
+            return np.array([i for match in cut.findall((lead + piece).decode()) for i in one(match.encode())], dtype="<u4").tobytes()
 
-        _loaded[file, pattern] = PieceEncoder(encode, "spaced" if pattern == SPACED_PATTERN else "whole", encode([b"\n"])[0]), bpe
+        _loaded[file, pattern] = PieceEncoder(encode, "spaced" if pattern == SPACED_PATTERN else "whole", lambda texts: list(map(encode, texts))), bpe
     return _loaded[file, pattern]
 
 

@@ -58,56 +58,50 @@ def odd_spacing(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pieces(dict):
+    """The ids of pieces; a new one is encoded when it is first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        found = self[piece] = self.encode(piece)
+        return found
+
+
 class PieceEncoder:
-    """ids of texts as little-endian bytes; encode takes new pieces (UTF-8) and gives their ids as such bytes."""
+    """ids of texts as little-endian bytes. encode takes a piece (UTF-8) and what stands before it, and gives their ids as such bytes."""
 
-    def __init__(self, encode: Callable[..., list[bytes]], cut: str, newline: bytes = b""):
-        self.encode, self.cut, self.newline = encode, cut, newline
-        self.known: dict[bytes, bytes] = {}
+    def __init__(self, encode: Callable[[bytes, bytes], bytes], cut: str, whole: Callable[[list[bytes]], list[bytes]]):
+        self.cut, self.whole = cut, whole
+        self.newline = newline = whole([b"\n"])[0]
 
-    def _new(self, pieces: list[bytes]) -> list[bytes]:
-        if self.cut == "words":
-            return self.encode(pieces)
-        # After a newline a piece stands alone; else the space before it belongs to it.
-        heads = iter(self.encode([p[1:] for p in pieces if p[:1] == b"\n"]))
-        tails = iter(self.encode([p for p in pieces if p[:1] != b"\n"], b" "))
-        return [self.newline + next(heads) if p[:1] == b"\n" else next(tails) for p in pieces]
-
-    def _ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of pieces, joined."""
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in texts]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        new = list({p for i in lacking for p, ids in zip(texts[i], found[i], strict=True) if ids is None})
-        if new:
-            self.known.update(zip(new, self._new(new), strict=True))
-            for i in lacking:
-                found[i] = list(map(get, texts[i]))
-        return list(map(b"".join, found))
+        def spaced(piece: bytes) -> bytes:
+            # After a newline a piece stands alone; else the space before it belongs to it.
+            return newline + encode(piece[1:], b"") if piece[:1] == b"\n" else encode(piece, b" ")
+
+        self.known = Pieces(spaced if cut == "spaced" else lambda piece: encode(piece, b""))
 
     def chunk(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The ids of each text data[bounds[i]:bounds[i + 1]]."""
         raw = data.tobytes()
         texts = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         if self.cut == "whole":
-            return self.encode(texts)
-        odd = odd_spacing(data, bounds).tolist() if self.cut == "spaced" else []
+            return self.whole(texts)
+        get, skipped = self.known.__getitem__, len(self.newline)
+        if self.cut == "words":
+            return [b"".join(map(get, t.split())) for t in texts]
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            group = texts[at : at + 256]
-            if self.cut == "words":
-                out += self._ids([t.split() for t in group])
-                continue
-            pieces = []
-            for text, strange in zip(group, odd[at : at + 256], strict=True):
-                if strange:
-                    first, *further = _SAFE.split(text)
-                    pieces.append([b"\n" + first, *(p[1:] for p in further)])
-                else:
-                    pieces.append((b"\n" + text.replace(b"\n", b" \n")).split(b" "))
-            out += [ids[len(self.newline) :] for ids in self._ids(pieces)]
+        for text, strange in zip(texts, odd_spacing(data, bounds).tolist(), strict=True):
+            if strange:
+                first, *further = _SAFE.split(text)
+                pieces = [b"\n" + first, *(p[1:] for p in further)]
+            else:
+                pieces = (b"\n" + text.replace(b"\n", b" \n")).split(b" ")
+            out.append(b"".join(map(get, pieces))[skipped:])
         return out
 
 
@@ -121,7 +115,7 @@ def kind(file: str) -> str:
     steps = (norm or {}).get("normalizers", [])
     splits = pre.get("pretokenizers", [])
     folds = any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps)
-    if folds and {s.get("type") for s in steps} <= {"NFC", "Replace", "Lowercase"} and splits and splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
+    if folds and {"Replace", "Lowercase"} <= {s.get("type") for s in steps} <= {"NFC", "Replace", "Lowercase"} and splits and splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert"):
         return "words"
     return "whole"
 
@@ -134,58 +128,40 @@ def library_encoder(file: str) -> tuple[PieceEncoder, np.dtype]:
     if file not in _loaded:
         from tokenizers import Tokenizer
 
-        tokenizer, marked = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        tokenizer = Tokenizer.from_file(file)
         tokenizer.encode_special_tokens = True
         dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        special = {t.content: i for i, t in marked.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
-        strings = [t.content for t in marked.get_added_tokens_decoder().values()]
-        mark, mark_id = next(iter(special.items()), ("", -1))
-        cut, model, parts = kind(file), tokenizer.model, {}
+        cut, tokenize, parts = kind(file), tokenizer.model.tokenize, {}
         fold, code = cut == "words", "H" if dtype.itemsize == 2 else "I"
 
-        def apart(pieces: list[str]) -> list[bytes]:
-            """Any pieces, many in one call; a special token tells them apart, unless such a token's string stands in the text."""
+        def whole(texts: list[bytes]) -> list[bytes]:
             found: list[bytes] = []
-            for at in range(0, len(pieces), 4096):
-                part = pieces[at : at + 4096]
-                joined = "\0".join(part)
-                if mark and "" not in part and not any(x in joined for x in strings):
-                    ids = np.array(marked.encode(mark.join(part), add_special_tokens=False).ids, dtype=dtype)
-                    cuts = np.flatnonzero(ids == mark_id)
-                    raw, size = ids.tobytes(), dtype.itemsize
-                    found += [raw[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)], strict=True)]
-                else:
-                    found += [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            for at in range(0, len(texts), 256):
+                found += [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 256]], add_special_tokens=False)]
             return found
 
         def run_of(text: str) -> bytes:
             """The ids of one match of the pre-tokenizer, by the library's merges alone."""
             mapped = text.replace(" ", _SPACE_MARK) if text.isascii() else "".join(map(_BYTE_MARK.__getitem__, text.encode()))
-            return array(code, [t.id for t in model.tokenize(mapped)]).tobytes()
-
-        def encode(pieces: list[bytes], lead: bytes = b"") -> list[bytes]:
-            out: list[bytes | None] = []
-            other: list[str] = []
-            front = lead.decode()
-            for piece in pieces:
-                text = piece.decode()
-                simple = _SIMPLE.fullmatch(text) if cut != "whole" else None
-                if simple is None:
-                    other.append(front + text)
-                    out.append(None)
-                    continue
-                letters, signs = simple.groups()
-                ids = run_of(front + (letters.lower() if fold else letters))
-                if signs:
-                    tail = parts.get(signs)
-                    if tail is None:
-                        tail = run_of(signs)
-                        if len(parts) < 10_000:
-                            parts[signs] = tail
-                    ids += tail
-                out.append(ids)
-            rest = iter(apart(other))
-            return [next(rest) if ids is None else ids for ids in out]
-
-        _loaded[file] = PieceEncoder(encode, cut, apart(["\n"])[0]), dtype
+            return array(code, [t.id for t in tokenize(mapped)]).tobytes()
+
+        def encode(piece: bytes, lead: bytes) -> bytes:
+            if piece.isalpha():  # ASCII letters
+                text = (piece.lower() if fold else piece).decode()
+                return array(code, [t.id for t in tokenize(_SPACE_MARK + text if lead else text)]).tobytes()
+            simple = _SIMPLE.fullmatch(piece.decode())
+            if simple is None:
+                return array(code, tokenizer.encode((lead + piece).decode(), add_special_tokens=False).ids).tobytes()
+            letters, signs = simple.groups()
+            ids = run_of(lead.decode() + (letters.lower() if fold else letters))
+            if signs:
+                tail = parts.get(signs)
+                if tail is None:
+                    tail = run_of(signs)
+                    if len(parts) < 10_000:
+                        parts[signs] = tail
+                ids += tail
+            return ids
+
+        _loaded[file] = PieceEncoder(encode, cut, whole), dtype
     return _loaded[file]
