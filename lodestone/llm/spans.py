@@ -165,8 +165,10 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     wanted = ranges.withColumnRenamed("key", "__key")
     edges = single.join(F.broadcast(wanted) if size <= 32 << 20 else wanted, "__key").select("__key", "__text", "ranges").mapInArrow(_edges(k), "e long, c int, key long, at int")
     known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last"), F.count("*").alias("n"), F.sum("at").alias("places"), F.bit_xor(F.xxhash64("key")).alias("who")).where("source < last")
+    # As a table: the join back is then by broadcast, or a plain shuffled one whose common edges Spark can split.
+    known = table(known.drop("last"), "edges")
     path = F.hash("n", "who", F.col("places") - F.col("n") * F.col("at")).alias("path")
-    later = edges.join(known.drop("last"), ["e", "c"]).where("key > source").select("key", F.struct("at", "source", path).alias("p"))
+    later = edges.join(small(known, 64), ["e", "c"]).where("key > source").select("key", F.struct("at", "source", path).alias("p"))
     spans = later.groupBy("key").agg(F.collect_list("p").alias("places")).mapInArrow(_paths(k), "key long, spans array<struct<start:int,n_words:int,source:long>>")
     return Repeats(copies, table(spans, "spans"), clashing, k)
 
