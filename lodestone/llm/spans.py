@@ -148,8 +148,8 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
 
     digests = rows.select(F.col("__key").alias("key"), F.unhex(F.md5(F.encode("__text", "utf-8"))).alias("digest"))
     digests = table(digests, "digests")
-    several = digests.groupBy("digest").agg(F.min("key").alias("source"), F.max("key").alias("last")).where("source < last")
-    copies = table(digests.join(several, "digest").where("key > source").select("key", "digest", "source").distinct(), "copies")
+    several = table(digests.groupBy("digest").agg(F.min("key").alias("source"), F.max("key").alias("last")).where("source < last").drop("last"), "several")
+    copies = table(digests.join(small(several, 64), "digest").where("key > source").select("key", "digest", "source").distinct(), "copies")
     clashing = table(digests.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key"), "clashing")
 
     single = rows.withColumn("__digest", F.unhex(F.md5(F.encode("__text", "utf-8"))))
