@@ -217,10 +217,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     direct = measured.where("not outer and key <> block").select(F.col("key").alias("a"), F.col("block").alias("b"))
 
     # 5. the others search
-    reach = measured.where("outer").groupBy("block").agg(F.min("far").alias("nearest"))
-    taking = measured.join(reach, "block").where(F.expr(f"outer or far >= nearest - (1 - {percent} / 100) - 1e-9"))
-    parts = measured.join(reach, "block").where(F.expr(f"outer or far >= nearest - (1 - {percent} / 100) - 1e-9")).groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    dealt = taking.join(parts, "block").withColumn("side", F.pmod(F.hash("key"), F.col("parts")))
+    # reach and parts have a row for each block that searches. As tables they are broadcast, or joined so that Spark can split a large block.
+    reach = table(measured.where("outer").groupBy("block").agg(F.min("far").alias("nearest")), "reach")
+    taking = measured.join(small(reach, 40), "block").where(f"outer or far >= nearest - (1 - {percent} / 100) - 1e-9").drop("nearest")
+    parts = table(taking.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
+    dealt = taking.join(small(parts, 40), "block").withColumn("side", F.pmod(F.hash("key"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "key", "side", "outer", "far", "tokens")
     # Dealt by the pair of chunks; else the joins' partitioning by block would keep a block's pairs in one task.
     found = dealt.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(_search(percent), "a long, b long")
