@@ -2,9 +2,13 @@
 
 A recording (16-bit mono PCM in a binary column) is cut into overlapping frames; each frame's spectrum is folded into 12 pitch classes. Over the
 integral image of frames by classes, 16 filters compare the energy of neighbouring areas, each giving 2 bits; the 32 bits of a place are one
-packed integer. Equal fingerprints form one class. For a query, each of its integers is looked up among those of all classes;
-the offsets of the hits are counted in a histogram for each pair, and at the pair's best offset (most hits, then least) the bit errors over the
-common stretch decide.
+packed integer. Equal fingerprints form one class. Each query is aligned with every other class at every offset: the histogram of a pair counts,
+for each offset, the equal less the unequal bits of the common stretch. Offsets whose stretch has at most 20% bit errors over 8 places or more match;
+of these a pair's fullest one (most equal less unequal bits, then the least offset) is given.
+
+The histogram is exact. An index of equal integers isn't: of evenly spread errors of 20% it keeps one integer in a thousand, and of a stretch with
+20% errors no part of an integer need be equal. So blocks of recordings meet blocks of queries in matrix products, as many as pairs of blocks;
+the time grows with queries times classes.
 
 Defined results: null, empty and too short recordings have no integers and no matches and are classes of their own; rows with equal ids are separate;
 an odd last byte is left out; silence gives the integer of flat energy; other columns are not read.
@@ -19,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
 RATE, FRAME, HOP, WIDTH = 4000, 512, 256, 8
+#: Recordings and queries in a block, integers that a product takes of the recordings at once, offsets in a product.
+BLOCK, ASKED, PLACES, OFFSETS = 512, 128, 1 << 15, 32
 #: A filter by its number i: shape i % 4, first pitch class (5 * i) % 12, height 2 + i % 3, width 2, 4, 6 or 8 places.
 FILTERS = tuple((i % 4, (5 * i) % 12, 2 + i % 3, 2 + 2 * (i // 4)) for i in range(16))
 #: Where a response changes its 2 bits, and the share of bit errors up to which recordings match, and the least common stretch.
@@ -85,6 +91,72 @@ def fingerprints(recordings: DataFrame, key: str, audio: str) -> DataFrame:
     return recordings.select(F.col(key).cast("long").alias("key"), F.col(audio).alias("audio")).mapInArrow(run, "key long, items array<int>")
 
 
+def _blocks(prints: DataFrame, name: str, size: int) -> DataFrame:
+    """The prints (cls, items) in blocks of about size rows, each one row."""
+    number = max(1, -(-prints.count() // size))
+    return prints.groupBy(F.pmod(F.xxhash64("cls"), F.lit(number)).alias(name)).agg(F.collect_list(F.struct("cls", "items")).alias(f"{name}_rows"))
+
+
+def _signs(items: np.ndarray) -> np.ndarray:
+    """1 for a set bit and -1 for one that isn't, 32 for each integer."""
+    return np.unpackbits(items.astype("<i4").view(np.uint8), bitorder="little").astype(np.float32) * 2 - 1
+
+
+def alignments(query: np.ndarray, lengths: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best offset, its equal less its unequal bits, and its stretch, of a query with each of some recordings; stretch 0 without a match.
+
+    signs: a row of signs for each recording, 0 behind its end.
+    """
+    n, longest = len(query), signs.shape[1] // 32
+    own = _signs(query)
+    best, top, stretch = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths)), np.zeros(len(lengths), dtype=np.int64)
+    first, last = STRETCH - n, longest - STRETCH
+    step = max(1, min(OFFSETS, (1 << 21) // (32 * n)))
+    for start in range(first, last + 1, step):
+        offsets = np.arange(start, min(start + step, last + 1))
+        lo, hi = max(0, start), min(longest, int(offsets[-1]) + n)
+        moved = np.zeros((len(offsets), 32 * (hi - lo)), dtype=np.float32)
+        for row, o in zip(moved, offsets.tolist(), strict=True):
+            a, b = max(lo, o), min(hi, o + n)
+            row[32 * (a - lo) : 32 * (b - lo)] = own[32 * (a - o) : 32 * (b - o)]
+        count = signs[:, 32 * lo : 32 * hi] @ moved.T
+        common = np.minimum(lengths[:, None], offsets + n) - np.maximum(0, offsets)
+        good = (common >= STRETCH) & (count >= 32 * (1 - 2 * ERRORS) * common - 1e-3)
+        for i in np.flatnonzero(good.any(1)).tolist():
+            at = int(np.argmax(np.where(good[i], count[i], 0)))
+            if count[i, at] > top[i]:
+                best[i], top[i], stretch[i] = offsets[at], count[i, at], common[i, at]
+    return best, top, stretch
+
+
+def _meet(part: pa.Table) -> pa.Table:
+    """The matches of a block of queries in a block of recordings."""
+
+    def rows(name: str) -> list[tuple[int, np.ndarray]]:
+        found = [(x["cls"].as_py(), x["items"].values.to_numpy()) for block in part.column(f"{name}_rows") for x in block]
+        return sorted(found, key=lambda x: (len(x[1]), x[0]))
+
+    queries, recordings = ([x for x in rows(name) if len(x[1]) >= STRETCH] for name in ("q", "d"))
+    out: list[list] = [[], [], [], [], []]
+    while recordings:
+        take = 1
+        while take < len(recordings) and (take + 1) * len(recordings[take][1]) <= PLACES:
+            take += 1
+        some, recordings = recordings[:take], recordings[take:]
+        keys, lengths = np.array([x[0] for x in some]), np.array([len(x[1]) for x in some])
+        signs = np.zeros((take, 32 * lengths[-1]), dtype=np.float32)
+        for row, (_, items) in zip(signs, some, strict=True):
+            row[: 32 * len(items)] = _signs(items)
+        for key, query in queries:
+            offset, top, stretch = alignments(query, lengths, signs)
+            there = (stretch > 0) & (keys != key)
+            bits = 32 * stretch[there]
+            for column, x in zip(out, (np.full(len(bits), key), keys[there], offset[there], (bits - top[there].astype(np.int64)) // 2, bits), strict=True):
+                column.append(x)
+    kinds = {"q": pa.int64(), "class_id": pa.int64(), "offset": pa.int32(), "bit_errors": pa.int64(), "bits": pa.int64()}
+    return pa.table({name: pa.array(np.concatenate([np.empty(0, dtype=np.int64), *x]), t) for (name, t), x in zip(kinds.items(), out, strict=True)})
+
+
 def align(prints: DataFrame, queries: str = "key % 50 = 0") -> DataFrame:
     """(key, class_id, n_items, matches) of every row: the class of equal fingerprints, and for the queries the classes that they match.
 
@@ -97,16 +169,11 @@ def align(prints: DataFrame, queries: str = "key % 50 = 0") -> DataFrame:
     asked = known.where(f"hash is not null and ({queries})").select("cls").distinct()
     search = distinct.join(asked, "cls", "left_semi")
 
-    # Each integer once for a recording and place; the counts are summed in each task before they move.
-    spread = lambda df, who, at: df.select(F.col("cls").alias(who), F.posexplode("items").alias(at, "item"))
-    hits = spread(search, "q", "i").join(spread(distinct, "d", "j"), "item").where("q <> d")
-    histogram = hits.groupBy("q", "d", (F.col("j") - F.col("i")).alias("offset")).agg(F.count("*").alias("n"))
-    best = histogram.groupBy("q", "d").agg(F.max(F.struct("n", (-F.col("offset")).alias("o"))).alias("b")).where("b.n >= 2").select("q", "d", (-F.col("b.o")).alias("offset"))
-    pair = best.join(distinct.select(F.col("cls").alias("q"), F.col("items").alias("x")), "q").join(distinct.select(F.col("cls").alias("d"), F.col("items").alias("y")), "d")
-    stretch = "slice(x, greatest(0, -offset) + 1, n)"
-    other = "slice(y, greatest(0, offset) + 1, n)"
-    measured = pair.withColumn("n", F.expr("cast(greatest(0, least(size(x) - greatest(0, -offset), size(y) - greatest(0, offset))) as int)")).withColumn("errors", F.expr(f"aggregate(zip_with({stretch}, {other}, (a, b) -> bit_count((a ^ b) & 4294967295L)), 0L, (s, e) -> s + e)"))
-    good = measured.where(f"n >= {STRETCH} and errors <= {ERRORS} * 32 * n").groupBy("q").agg(F.array_sort(F.collect_list(F.struct(F.col("d").alias("class_id"), "offset", F.col("errors").alias("bit_errors"), (F.col("n") * 32).alias("bits")))).alias("matches"))
+    blocks, askers = table(_blocks(distinct, "d", BLOCK), "blocks"), table(_blocks(search, "q", ASKED), "queries")
+    pairs = blocks.crossJoin(small(askers, ASKED * 1024))
+    parts = max(1, min(blocks.count() * askers.count(), 4000))
+    found = pairs.repartition(parts, "d", "q").groupBy("d", "q").applyInArrow(_meet, "q long, class_id long, offset int, bit_errors long, bits long")
+    good = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("class_id", "offset", "bit_errors", "bits"))).alias("matches"))
     out = known.join(good.withColumnRenamed("q", "cls"), "cls", "left")
     return out.select("key", F.col("cls").alias("class_id"), F.size("items").alias("n_items"), F.expr(f"if({queries}, coalesce(matches, array()), null)").alias("matches"))
 

@@ -196,6 +196,32 @@ def test_audio(spark):
     assert got[4].n_items == got[5].n_items == 0
 
 
+def test_audio_against_all_offsets(spark):
+    """Evenly spread bit errors of up to 20%, repeated patterns, silence and short stretches: every pair within the errors is found."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, 56, dtype=np.uint64).astype(np.uint32)
+    flipped = lambda x, share: x ^ (np.packbits(rng.random((len(x), 32)) < share, axis=1).view("<u4")[:, 0])
+    prints = [base, *(flipped(base[i:], share) for i in (0, 7, 40) for share in (0.05, 0.1, 0.15, 0.18, 0.25)), np.tile(base[:5], 8), np.tile(base[:5], 6), np.zeros(30, np.uint32), np.zeros(12, np.uint32), flipped(base[-8:], 0.15), base[-7:], base[:0]]
+    rows = [(i, x.view(np.int32).tolist()) for i, x in enumerate(prints)]
+    got = {r.key: r for r in audio.align(spark.createDataFrame(rows, "key long, items array<int>"), "true").collect()}
+    matches = 0
+    for i, x in enumerate(prints):
+        want = []
+        for j, y in enumerate(prints):
+            found = []
+            for o in range(8 - len(x), len(y) - 7):
+                a, b = x[max(0, -o) :], y[max(0, o) :]
+                n = min(len(a), len(b))
+                errors = int(np.bitwise_count(a[:n] ^ b[:n]).sum())
+                if n >= 8 and 10 * errors <= 64 * n:
+                    found.append((2 * errors - 32 * n, o, errors, 32 * n))
+            if found and i != j:
+                want.append((j, *min(found)[1:]))
+        assert [tuple(m) for m in got[i].matches] == want, i
+        matches += len(want)
+    assert matches > 50
+
+
 def test_bpe(spark, folder):
     import tiktoken
 
