@@ -179,6 +179,25 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r"mail [a-z]{2}\.[a-z][0-9]@example\.com", got[0]) and re.fullmatch(r"ip ([0-9]{1,3}\.){4}", got[1])
 
 
+CARD = "4041 8949 7460 8795"
+
+
+def _replaced(spark, texts: list) -> list:
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.pseudonymize(docs, "k").orderBy("doc_id").collect()]
+
+
+def test_pseudonyms_of_cards_beside_numbers(spark):
+    around = ["card #", "card # 12/27", "paid 20 #", "in 2024 #", "# 123", "# #", "12 988 555-2485 # 1999-02-28", "# 42.144.35.254", "2024 #/12", "# 28/02/1999 #", "+49 30 901820 #"]
+    got = _replaced(spark, [a.replace("#", CARD) for a in around])
+    fresh = got[0][5:]
+    assert fresh != CARD and re.fullmatch("([0-9]{4} ?){4}", fresh)
+    assert [got[i] for i in (1, 2, 3, 4, 5, 8)] == [around[i].replace("#", fresh) for i in (1, 2, 3, 4, 5, 8)]
+    for a, g in zip(around, got, strict=True):
+        assert g.count(fresh) == a.count("#") and not any(x in g for x in ("555-2485", "1999", "42.144.35.254", "901820"))
+    assert _replaced(spark, ["1 2 3 4 5 6", "4041 8949 7460 8796", "1234567890123456789012345"]) == ["1 2 3 4 5 6", "4041 8949 7460 8796", "1234567890123456789012345"]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     rows = spark.range(1000).selectExpr("id as doc_id", "concat('555-', lpad(id div 100, 3, '0'), '-', lpad(id % 100, 4, '0')) as text")
     assert pii.pseudonymize(rows, "k").select("text").distinct().count() == 1000
