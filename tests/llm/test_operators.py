@@ -198,6 +198,26 @@ def test_pseudonyms_of_cards_beside_numbers(spark):
     assert _replaced(spark, ["1 2 3 4 5 6", "4041 8949 7460 8796", "1234567890123456789012345"]) == ["1 2 3 4 5 6", "4041 8949 7460 8796", "1234567890123456789012345"]
 
 
+def test_pseudonyms_of_secrets_in_other_layouts(spark):
+    value = "ab!cd-99"
+    texts = [f"x password{b}{value}{a}" for b, a in (("=", ""), (": ", " y"), (" = ", "."), ('="', '" y'), (" = '", "'"), ('": "', '", "k": 1'))]
+    got = _replaced(spark, [*texts, f'token="{value}"', f"API_KEY: {value}", f"secret = '{value}'", "no token here"])
+    fresh = re.fullmatch("x password=(.*)", got[0])[1]
+    assert re.fullmatch("[a-z]{2}![a-z]{2}-[0-9]{2}", fresh) and fresh != value
+    assert got[:6] == [t.replace(value, fresh) for t in texts]
+    assert got[6:] == [f'token="{fresh}"', f"API_KEY: {fresh}", f"secret = '{fresh}'", "no token here"]
+
+
+def test_pseudonyms_of_telephones_and_dates_in_other_layouts(spark):
+    phones = ["+49 30 901820", "+44 20 7946 0958", "+33 1 42 68 53 00", "+15551234567", "1-800-555-0199", "+1-988-555-2485", "0171 1234567", "030/901820"]
+    for a, b in zip(phones, _replaced(spark, phones), strict=True):
+        assert a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b)
+    got = _replaced(spark, ["1999-02-28", "1999/02/28", "1999.02.28", "28/02/1999", "28-02-1999", "02/28/1999", "28.2.1999", "2/28/1999", "31/31/1999"])
+    year, month, day = got[0].split("-")
+    assert got[0] != "1999-02-28" and got[1:6] == [f"{year}/{month}/{day}", f"{year}.{month}.{day}", f"{day}/{month}/{year}", f"{day}-{month}-{year}", f"{month}/{day}/{year}"]
+    assert got[6:] == [f"{int(day)}.{int(month)}.{year}", f"{int(month)}/{int(day)}/{year}", "31/31/1999"]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     rows = spark.range(1000).selectExpr("id as doc_id", "concat('555-', lpad(id div 100, 3, '0'), '-', lpad(id % 100, 4, '0')) as text")
     assert pii.pseudonymize(rows, "k").select("text").distinct().count() == 1000
