@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed sequences: each stage calls one operator of lodestone.llm on all that its predecessor kept.
 
 All stages but the last return the columns of documents. Where a stage changes a text, n_chars follows. Null texts, empty tables, repeated rows
-and further columns are treated as the operators' docstrings say; of rows that share a doc_id one stays after the second stage.
+and further columns are treated as the operators' docstrings say; rows that share a doc_id but differ in text are documents of their own, of equal rows one stays after the
+second stage.
 """
 
 from __future__ import annotations
@@ -31,14 +32,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 or more on five words the one with the least doc_id stays."""
-    found = near_join.near_components(docs, k=5, percent=80)
-    gone = table(found.where("key is not null").groupBy("key").agg(F.min("component_id").alias("c")).where("c <> key").select("key"), "gone")
-    kept = docs.join(small(gone, 32).withColumnRenamed("key", "doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    twice = table(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(small(twice, 32), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(small(twice, 32), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if table(twice, "twice").isEmpty():
+        found = near_join.near_components(docs, k=5, percent=80)
+        gone = table(found.where("key is not null").groupBy("key").agg(F.min("component_id").alias("c")).where("c <> key").select("key"), "gone")
+        return docs.join(small(gone, 32).withColumnRenamed("key", "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Where a doc_id repeats, each row has an id of its doc_id and text: a text never goes for another one's copy.
+    own = docs.withColumn("__id", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull())))
+    found = near_join.near_components(own, k=5, percent=80, key="__id").where("key is not null").groupBy("key").agg(F.min("component_id").alias("c"))
+    known = own.where("__id is not null").select(F.col("__id").alias("key"), "doc_id").distinct()
+    groups = table(found.join(known, "key"), "groups")
+    least = table(groups.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("least")), "least")
+    gone = table(groups.join(small(least, 40), "c").where("key <> least.key").select(F.col("key").alias("__id")), "gone")
+    kept = own.join(small(gone, 32), "__id", "left_anti")
+    return kept.where("__id is not null").dropDuplicates(["__id"]).unionByName(kept.where("__id is null")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

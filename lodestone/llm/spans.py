@@ -13,8 +13,8 @@ Nodes are runs of k - 1 words, edges runs of k words (windows). Only edges that
 ``repeated_spans`` gives the paths; ``remove_spans`` takes the covered words out.
 
 Defined results: null texts have no words; rows with a null key stay out and stay whole; rows that are equal in key and text
-get equal results; rows that share a key but differ in text count as places of that key, yet stay whole themselves; texts with fewer than k words
-have no windows; other columns pass through ``remove_spans`` untouched, whatever their names.
+get equal results; rows that share a key but differ in text (told apart by 64 bits of hash) are each cut by what smaller keys have, not by each other; texts
+with fewer than k words have no windows; other columns pass through ``remove_spans`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,15 +60,15 @@ def _minimizers(k: int, m: int):
                 new = np.ones(len(windows), dtype=bool)
                 new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
                 first = np.flatnonzero(new)
-                keys = rows.column("__key").to_numpy()[doc[first]]
+                keys, row = (rows.column(c).to_numpy()[doc[first]] for c in ("__key", "__row"))
                 place = (windows - words.first[doc])[first]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(least[first])), pa.array(keys), pa.array(place, pa.int32()), pa.array(np.diff(np.append(first, len(windows))), pa.int32())], names=["h", "key", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(least[first])), pa.array(keys), pa.array(row), pa.array(place, pa.int32()), pa.array(np.diff(np.append(first, len(windows))), pa.int32())], names=["h", "key", "row", "at", "n"])
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges [from, to) of a key's windows, sorted and joined, as one flat list."""
+    """Ranges [from, to) of a row's windows, sorted and joined, as one flat list."""
     for batch in batches:
         out = []
         for row in batch.column("r"):
@@ -79,7 +79,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = at[new, 0]
             end = np.r_[top[np.flatnonzero(new)[1:] - 1], top[-1]]
             out.append(np.column_stack([start, end]).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], names=["key", "ranges"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(out, pa.list_(pa.int32()))], names=["key", "row", "ranges"])
 
 
 def _edges(k: int):
@@ -103,7 +103,7 @@ def _edges(k: int):
                 e = e[np.searchsorted(where, at)]
                 check = (mix(sums(mix(h + np.uint64(1)), at, at + k, _BASE2, _BASE2_INV)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc = words.doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(e)), pa.array(check), pa.array(rows.column("__key").to_numpy()[doc]), pa.array(at - words.first[doc], pa.int32())], names=["e", "c", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(e)), pa.array(check), pa.array(rows.column("__key").to_numpy()[doc]), pa.array(rows.column("__row").to_numpy()[doc]), pa.array(at - words.first[doc], pa.int32())], names=["e", "c", "key", "row", "at"])
 
     return run
 
@@ -129,48 +129,47 @@ def _paths(k: int):
                 cuts.append(cuts[-1] + len(first))
             kinds = {"start": pa.int32(), "n_words": pa.int32(), "source": pa.int64()}
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *c]), t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names=["key", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names=["key", "row", "spans"])
 
     return run
 
 
 class Repeats:
-    """What repeats in a table: copies (key, digest, source) of whole texts, and spans (key, array of start, n_words, source)."""
+    """What repeats in a table: copies (key, row, digest, source) of whole texts, and spans (key, row, array of start, n_words, source); row: hash of the text."""
 
-    def __init__(self, copies: DataFrame, spans: DataFrame, clashing: DataFrame, k: int):
-        self.copies, self.spans, self.clashing, self.k = copies, spans, clashing, k
+    def __init__(self, copies: DataFrame, spans: DataFrame, k: int):
+        self.copies, self.spans, self.k = copies, spans, k
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str = "text") -> Repeats:
     """Spans of k words and more that start in a document with a smaller key too."""
     m = min(MINIMIZER, k)
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text")).where("__key is not null and __text is not null")
+    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__row")).where("__key is not null and __text is not null")
 
-    digests = rows.select(F.col("__key").alias("key"), F.unhex(F.md5(F.encode("__text", "utf-8"))).alias("digest"))
+    digests = rows.select(F.col("__key").alias("key"), F.col("__row").alias("row"), F.unhex(F.md5(F.encode("__text", "utf-8"))).alias("digest"))
     digests = table(digests, "digests")
     several = table(digests.groupBy("digest").agg(F.min("key").alias("source"), F.max("key").alias("last")).where("source < last").drop("last"), "several")
-    copies = table(digests.join(small(several, 64), "digest").where("key > source").select("key", "digest", "source").distinct(), "copies")
-    clashing = table(digests.groupBy("key").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("key"), "clashing")
+    copies = table(digests.join(small(several, 64), "digest").where("key > source").select("key", "row", "digest", "source").distinct(), "copies")
 
     single = rows.withColumn("__digest", F.unhex(F.md5(F.encode("__text", "utf-8"))))
     whole = small(copies, 64).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
-    single = single.join(whole, ["__key", "__digest"], "left_anti").select("__key", "__text")
+    single = single.join(whole, ["__key", "__digest"], "left_anti").select("__key", "__row", "__text")
 
-    places = single.mapInArrow(_minimizers(k, m), "h long, key long, at int, n int")
+    places = single.mapInArrow(_minimizers(k, m), "h long, key long, row long, at int, n int")
     repeated = places.select("h", "key").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h")
-    found = places.join(repeated, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("r"))
-    ranges = table(found.mapInArrow(_merged, "key long, ranges array<int>"), "ranges")
+    found = places.join(repeated, "h", "left_semi").groupBy("key", "row").agg(F.collect_list(F.struct("at", "n")).alias("r"))
+    ranges = table(found.mapInArrow(_merged, "key long, row long, ranges array<int>"), "ranges")
 
-    size = ranges.agg(F.sum(F.size("ranges") * 4 + 32)).first()[0] or 0
-    wanted = ranges.withColumnRenamed("key", "__key")
-    edges = single.join(F.broadcast(wanted) if size <= 32 << 20 else wanted, "__key").select("__key", "__text", "ranges").mapInArrow(_edges(k), "e long, c int, key long, at int")
+    size = ranges.agg(F.sum(F.size("ranges") * 4 + 40)).first()[0] or 0
+    wanted = ranges.withColumnsRenamed({"key": "__key", "row": "__row"})
+    edges = single.join(F.broadcast(wanted) if size <= 32 << 20 else wanted, ["__key", "__row"]).select("__key", "__row", "__text", "ranges").mapInArrow(_edges(k), "e long, c int, key long, row long, at int")
     known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last"), F.count("*").alias("n"), F.sum("at").alias("places"), F.bit_xor(F.xxhash64("key")).alias("who")).where("source < last")
     # As a table: the join back is then by broadcast, or a plain shuffled one whose common edges Spark can split.
     known = table(known.drop("last"), "edges")
     path = F.hash("n", "who", F.col("places") - F.col("n") * F.col("at")).alias("path")
-    later = edges.join(small(known, 64), ["e", "c"]).where("key > source").select("key", F.struct("at", "source", path).alias("p"))
-    spans = later.groupBy("key").agg(F.collect_list("p").alias("places")).mapInArrow(_paths(k), "key long, spans array<struct<start:int,n_words:int,source:long>>")
-    return Repeats(copies, table(spans, "spans"), clashing, k)
+    later = edges.join(small(known, 64), ["e", "c"]).where("key > source").select("key", "row", F.struct("at", "source", path).alias("p"))
+    spans = later.groupBy("key", "row").agg(F.collect_list("p").alias("places")).mapInArrow(_paths(k), "key long, row long, spans array<struct<start:int,n_words:int,source:long>>")
+    return Repeats(copies, table(spans, "spans"), k)
 
 
 def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: str = "text", joined: bool = False) -> DataFrame:
@@ -180,20 +179,21 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     behind it, and texts of which nothing is removed stay as they are.
     """
     k = repeats.k
-    cuts = repeats.spans.select("key", F.expr("array_sort(transform(spans, s -> struct(s.start as start, s.start + s.n_words as end)))").alias("__cuts"))
+    cuts = repeats.spans.select("key", "row", F.expr("array_sort(transform(spans, s -> struct(s.start as start, s.start + s.n_words as end)))").alias("__cuts"))
     # [start, end) of spans, joined where they touch
     merge = """aggregate(__cuts, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).end >= x.start,
            concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end))),
            concat(a, array(x))))"""
-    cuts = cuts.withColumn("__cuts", F.expr(merge)).select("key", F.expr("flatten(transform(__cuts, x -> array(x.start, x.end)))").alias("__cuts"))
-    cuts = table(cuts.join(repeats.clashing, "key", "left_anti"), "cuts")
-    size = cuts.agg(F.sum(F.size("__cuts") * 4 + 32)).first()[0] or 0
-    copied = table(repeats.copies.select("key").distinct().join(repeats.clashing, "key", "left_anti").select("key", F.lit(True).alias("__copy")), "copied")
-
-    out = docs.withColumn("__key", F.col(key).cast("long"))
-    out = out.join((F.broadcast(cuts) if size <= 32 << 20 else cuts).withColumnRenamed("key", "__key"), "__key", "left")
-    out = out.join(small(copied, 40).withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    cuts = cuts.withColumn("__cuts", F.expr(merge)).select("key", "row", F.expr("flatten(transform(__cuts, x -> array(x.start, x.end)))").alias("__cuts"))
+    cuts = table(cuts, "cuts")
+    size = cuts.agg(F.sum(F.size("__cuts") * 4 + 40)).first()[0] or 0
+    copied = table(repeats.copies.select("key", "row").distinct().select("key", "row", F.lit(True).alias("__copy")), "copied")
+
+    own = {"key": "__key", "row": "__row"}
+    out = docs.withColumn("__key", F.col(key).cast("long")).withColumn("__row", F.xxhash64(text))
+    out = out.join((F.broadcast(cuts) if size <= 32 << 20 else cuts).withColumnsRenamed(own), list(own.values()), "left")
+    out = out.join(small(copied, 48).withColumnsRenamed(own), list(own.values()), "left").drop(*own.values())
     names = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -304,3 +304,20 @@ def test_pipeline(spark, folder, empty):
     assert p.run(spark, empty).count() == 0
     once = p.ngram_jaccard_join(spark, docs.unionByName(docs), folder)
     assert once.count() == once.select("doc_id").distinct().count()
+
+
+def test_rows_that_share_a_key(spark, folder):
+    """Texts under one doc_id are cut, and dropped as copies, each for itself."""
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    words = [["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)] for _ in range(4)]
+    a, b, c, d = (" ".join(w) for w in words)
+    near = " ".join([*words[1][:-1], "other"])
+    rows = [(1, a), (1, b), (7, near), (8, c), (8, a), (9, d + " " + c), (9, b), (None, a), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = p.ngram_jaccard_join(spark, docs, folder).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (1, b), (8, c), (9, d + " " + c), (None, a)], key=str)
+    out = spans.remove_spans(docs, spans.repeated_spans(docs, k=13), joined=True).collect()
+    cut = {(1, a): a, (1, b): b, (7, near): "other", (8, c): c, (8, a): "", (9, d + " " + c): d, (9, b): "", (None, a): a}
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted((i or 0, cut[i, t]) for i, t in rows)
