@@ -72,7 +72,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the classifier and the packing; the tests hold the stages against brute force.
+#: SQL can't express the classifier and the packing; the tests run the stages, but hold only some of their operators against brute force.
 ORACLE_SQL = None
 
 
