@@ -160,6 +160,12 @@ def _masks() -> np.ndarray:
     return np.array([sum(1 << int(b) for b in rng.choice(64, LOOKED_AT, replace=False)) for _ in range(TABLES)], dtype=np.uint64)
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of some arrays, sorted."""
+    all_ = np.sort(np.concatenate([np.empty(0, dtype=np.int64), *parts]))
+    return all_[np.append(True, all_[1:] != all_[:-1])] if len(all_) else all_
+
+
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, ... count[i] times, one after another."""
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -167,11 +173,11 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def near_windows(queried: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Which of the distinct windows lie close to which queried ones, as numbers query * len(windows) + window."""
-    found = [np.empty(0, dtype=np.int64)]
+    found = []
     spread = np.uint64(0x9E3779B97F4A7C15)
     for mask in _masks():
         a = queried & mask
-        order = np.argsort(a, kind="stable")
+        order = np.argsort(a)
         a, b = a[order], windows & mask
         there = np.zeros(1 << 20, dtype=bool)
         there[(a * spread) >> np.uint64(44)] = True
@@ -183,7 +189,7 @@ def near_windows(queried: np.ndarray, windows: np.ndarray) -> np.ndarray:
             d, q = np.repeat(at[x:y], count[x:y]), order[_ranges(low[x:y], count[x:y])]
             close = np.bitwise_count(queried[q] ^ windows[d]) <= CLOSE
             found.append(q[close] * len(windows) + d[close])
-    return np.unique(np.concatenate(found))
+    return _distinct(found)
 
 
 def bit_errors(queries: Prints, recordings: Prints, q: np.ndarray, d: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +218,7 @@ def alignments(queries: Prints, recordings: Prints) -> tuple[np.ndarray, np.ndar
     near = near_windows(wq, wd)
     i, j = np.divmod(near, max(1, len(wd)))
     n_q, n_d = cut_q[i + 1] - cut_q[i], cut_d[j + 1] - cut_d[j]
-    pairs = [np.empty(0, dtype=np.int64)]
+    pairs = []
     for a, b in _slices(n_q * n_d, GATHERED):
         # every place of the one window with every place of the other
         wide = np.repeat(np.arange(a, b), n_q[a:b])
@@ -220,8 +226,8 @@ def alignments(queries: Prints, recordings: Prints) -> tuple[np.ndarray, np.ndar
         x, y = np.repeat(x, y), _ranges(cut_d[j[wide]], y)
         q, d, offset = of_q[x], of_d[y], at_d[y] - at_q[x]
         good = _good(*bit_errors(queries, recordings, q, d, offset)) & (queries.ids[q] != recordings.ids[d])
-        pairs.append(np.unique(q[good] * len(recordings.ids) + d[good]))
-    found = np.unique(np.concatenate(pairs))
+        pairs.append(_distinct([q[good] * len(recordings.ids) + d[good]]))
+    found = _distinct(pairs)
     q, d = np.divmod(found, max(1, len(recordings.ids)))
     # the whole histogram of each pair
     first = STRETCH - queries.size[q]
