@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import col, small, table
 
 RATE, FRAME, HOP, WIDTH = 4000, 512, 256, 8
 #: Places in a block of queries and in one of all recordings, on average; a longer recording is a block of its own.
@@ -126,7 +126,7 @@ def fingerprints(recordings: DataFrame, key: str, audio: str) -> DataFrame:
                 cuts = np.cumsum([0, *map(len, items)])
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(items)))], names=["key", "items"])
 
-    found = recordings.select(F.col(key).cast("long").alias("key"), F.coalesce(F.length(audio), F.lit(0)).alias("size"), F.col(audio).alias("audio"))
+    found = recordings.select(col(key).cast("long").alias("key"), F.coalesce(F.length(col(audio)), F.lit(0)).alias("size"), col(audio).alias("audio"))
     return found.mapInArrow(run, "key long, items array<int>")
 
 
@@ -306,4 +306,4 @@ def render(rows: DataFrame, key: str, vector: str, hold: int = 256) -> DataFrame
                     audio.append((16383.5 * np.sin((2 * np.pi * phase).astype(np.float32))).astype("<i2").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(audio, pa.binary())], names=["key", "audio"])
 
-    return rows.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).mapInArrow(run, "key long, audio binary")
+    return rows.select(col(key).cast("long").alias("key"), col(vector).alias("vector")).mapInArrow(run, "key long, audio binary")

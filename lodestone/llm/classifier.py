@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, lower_ascii
+from .common import Words, chunks, col, lower_ascii, packed, unpacked, with_row
 
 WORDS, STEPS = 8192, 16
 #: Labelled rows to fit on at most, rank, passes over the sample and steps at least, rows in a step.
@@ -99,10 +99,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, seed: int = 1) -> Machine:
     """Learns from at most sample of the labelled rows for which usable holds. Only the label column of labels is read beside the key."""
-    chosen = labels.where(usable & F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__key"), "__key", "label").limit(sample)
-    rows = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text")).join(F.broadcast(chosen), "__key").select(F.xxhash64("__key", "label").alias("order"), "label", "__text")
+    chosen = labels.where(usable & col(label).isNotNull()).select(col(key).alias("__key"), col(label).cast("int").alias("label")).orderBy(F.xxhash64("__key"), "__key", "label").limit(sample)
+    rows = docs.select(col(key).alias("__key"), F.coalesce(col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__key").select(F.xxhash64("__key", "label", "__text").alias("order"), "label", "__text")
     # Features, not texts, go to the driver, and no more rows than the bound even if keys repeat.
-    got = rows.mapInArrow(_featured, "order long, label int, feature array<smallint>, value array<float>").limit(2 * sample).toArrow().combine_chunks().sort_by("order")
+    got = rows.mapInArrow(_featured, "order long, label int, feature array<smallint>, value array<float>").orderBy("order").limit(2 * sample).toArrow().combine_chunks().sort_by("order")
     rng = np.random.default_rng(seed)
     machine = Machine(0.0, np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, RANK)))
     y = got.column("label").to_numpy().astype(float)
@@ -144,16 +144,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "score") -> DataFrame:
     """docs with a double from 0 to 1 under the given name, whose column, if there is one, it replaces."""
-    docs = docs.drop(name)
-    names = [f.name for f in docs.schema.fields]
+    names = [c for c in docs.columns if c.lower() != name.lower()]
     state = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))  # bounded by SIZE and rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Machine(*state.value)
         for batch in batches:
-            for rows, data, bounds, _ in chunks(batch, text):
+            for rows, data, bounds, _ in chunks(batch):
                 z = fitted.logit(*features(data, bounds), len(rows))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*names, name])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["row", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` double")
+    rows = packed(docs, col(text).alias("text"))
+    return rows.mapInArrow(run, with_row(rows, "score double")).select(*unpacked(names), F.col("score").alias(name))

@@ -6,25 +6,31 @@ Arrow's text buffers directly, a few megabytes at a time, without a Python objec
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Most bytes of a side that is broadcast; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
-_OWN = f"file:///tmp/spark-shared-{uuid.uuid4().hex}"
 #: Bytes of text that a kernel takes at once (or one document, if that is longer).
 CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``. Only where it is unset (tests) a folder in /tmp."""
+    """The folder that all machines share: ``spark.checkpoint.dir``. Where it is unset, one in /tmp if all of Spark runs on this machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or _OWN).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = f"file:///tmp/spark-shared-{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,17 +53,58 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def small_by(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small() for rows whose bytes differ: size is summed."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
+# ---- rows with columns of any names ----------------------------------------------------------------------------------
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """All columns as one struct named row, and more beside it: no column of df can clash with what an operator adds."""
+    return df.select(F.struct(*map(col, df.columns)).alias("row"), *more)
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns out of row again; those in changed are replaced."""
+    return [changed.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes for df to have no such column."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
+def with_row(df: DataFrame, fields: str) -> StructType:
+    """The schema of df's column row and of further fields."""
+    return StructType([StructField("row", df.schema["row"].dataType), *StructType.fromDDL(fields).fields])
+
+
 # ---- words -----------------------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.uint64(0xD6E8FEB86659FD93)
-_STEP_INV = np.uint64(pow(int(_STEP), -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+#: Bytes from which on a word is hashed alone, by BLAKE2.
+LONG_WORD = 256
+_C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: Masks of the first n bytes of a little-endian block of 8.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def fresh_seed() -> int:
+    """A seed of the hashes of one run: texts can't be made to collide beforehand."""
+    return secrets.randbits(63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,22 +117,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    found = _powers.get(int(base))
-    if found is None or len(found) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        steps[0] = 1
-        found = np.multiply.accumulate(steps)
-        if n <= 2 * CHUNK_BYTES:
-            _powers[int(base)] = found
-    return found[:n]
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return mix(left * _C1 + (right ^ _C2))
 
 
-def sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
-    """Polynomial hashes (mod 2**64) of values[start:end] for many ranges at once."""
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power(base, len(values)), out=total[1:])
-    return (total[end] - total[start]) * _power(inverse, len(values) + 1)[start]
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k neighbours, joined from runs of 1, 2, 4, ... of them."""
+    n, at, size, level = len(hashes) - k + 1, 0, 1, hashes
+    out = None
+    while size <= k:
+        if k & size:
+            part = level[at : at + n]
+            out = part if out is None else join(out, part)
+            at += size
+        if 2 * size <= k:
+            level = join(level[:-size], level[size:])
+        size *= 2
+    return mix(out + np.uint64(k))
 
 
 class Words:
@@ -105,10 +154,23 @@ class Words:
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
 
-    def hashes(self) -> np.ndarray:
-        if not len(self.start):
-            return np.empty(0, dtype=np.uint64)
-        return mix(sums(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end, _BASE, _BASE_INV) + (self.end - self.start).astype(np.uint64))
+    def hashes(self, seed: int = 1) -> np.ndarray:
+        """A 64-bit hash of each word, of all its bytes in blocks of 8; long words by BLAKE2."""
+        first, later = mix(np.array([seed, seed ^ 0x5851F42D4C957F2D], dtype=np.uint64))
+        size = self.end - self.start
+        out = np.full(len(size), first, dtype=np.uint64)
+        blocks = np.ndarray(len(self.data) + 1, "<u8", np.append(self.data, np.zeros(8, dtype=np.uint8)), strides=(1,))
+        left = np.flatnonzero(size < LONG_WORD)
+        at = 0
+        while len(left):
+            rest = size[left] - at
+            block = blocks[self.start[left] + at] & _FIRST[np.minimum(rest, 8)]
+            out[left] = mix(out[left] ^ block) if at == 0 else join(out[left], block ^ later)
+            left, at = left[rest > 8], at + 8
+        for i in np.flatnonzero(size >= LONG_WORD).tolist():
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=int(first).to_bytes(8, "little")).digest(), "little")
+        return mix(out + size.astype(np.uint64) * _C3)
 
 
 def grams(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +179,7 @@ def grams(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     if n <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
-    return at, mix(sums(hashes, at, at + k, _STEP, _STEP_INV) + np.uint64(k))
+    return at, run_hashes(hashes, k)[at]
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,12 +224,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if parents.join(now.select(F.col("b").alias("a"), F.lit(1).alias("p")).distinct(), "a", "left").where("c > 1 or p is not null").isEmpty():
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = small(table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc"), 40)
         # large star: every larger neighbour of a links to the least id around a
         large = table(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc")
         # small star: every smaller neighbour of a, and a itself, link to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = table(large.groupBy("a").agg(F.min("b").alias("m")), "cc")
+        moved = large.join(small(least, 40), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = table(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")

@@ -3,7 +3,7 @@
 A document is the set of its n-grams of k words (all its words, if these are fewer). Two sets x, y link when
 100 * |x and y| >= percent * |x or y|, so they share at least T(x) = ceil(percent * |x| / 100) n-grams. The steps:
 
-1. Equal sets are one class, told by count and 128 bits of hash; its least key stands for it.
+1. Equal sets are one class, told by count and BLAKE2 over the words of their n-grams; its least key stands for it.
 2. Each set lists its least p = |x| - T(x) + g(|x|) hashes. A partner's list must share r(x) = g(T(x)) or more of them. A count over all lists finds
    the hashes that two sets list, and the sets with fewer than r(x) such hashes drop out.
 3. Of the rest, each set skips its r(x) - 1 longest lists; a link's two sets still meet in one of the others. Sets that meet, with the
@@ -16,12 +16,15 @@ A document is the set of its n-grams of k words (all its words, if these are few
    A task gives the edges of a forest, not all pairs.
 6. Components over the edges are found by alternating star steps.
 
+N-grams are told apart by 64 bits of a hash of all their words, seeded anew in each run.
+
 Defined results: null and wordless texts have no n-grams and no links (component: own key); null keys have no component; rows
 that share a key are one node, linked by any of its texts; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, components, grams, lower_ascii, mix, signed, small, sums, table
-from .common import _STEP, _STEP_INV
+from .common import Words, chunks, col, components, fresh_seed, grams, lower_ascii, run_hashes, signed, small, small_by, table
 
 #: Sets in a chunk of a block; share of a set, in percent, by which the lists of step 2 are longer than they must.
 CHUNK, MARGIN = 500, 15
@@ -45,40 +47,59 @@ def _margin(n):
     return n * MARGIN // 100 + 1
 
 
-def shingle_sets(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int, seed: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    words = Words(lower_ascii(data), bounds)
-    h = words.hashes()
+    for own, _, _ in _placed_sets(Words(lower_ascii(data), bounds), k, seed):
+        yield own
+
+
+def _placed_sets(words: Words, k: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each text the sorted distinct n-gram hashes, a place where each stands, and how many words it has."""
+    h = words.hashes(seed)
     at, g = grams(h, words.doc, k)
     cut = np.searchsorted(at, words.first)
-    alone = np.flatnonzero((words.n > 0) & (words.n < k))
-    short = mix(sums(h, words.first[alone], words.first[alone + 1], _STEP, _STEP_INV) + words.n[alone].astype(np.uint64)) if len(alone) else []
-    few = dict(zip(alone.tolist(), short, strict=True))
+    short: dict[int, np.uint64] = {}
+    for n in range(1, k):
+        docs = np.flatnonzero(words.n == n)
+        if len(docs):
+            short |= dict(zip(docs.tolist(), run_hashes(h, n)[words.first[docs]], strict=True))
     for i in range(len(words.n)):
         own = g[cut[i] : cut[i + 1]]
         if len(own):
-            own = np.sort(own)
-            yield own[np.r_[True, own[1:] != own[:-1]]]
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            new = np.r_[True, own[1:] != own[:-1]]
+            yield own[new], at[cut[i] : cut[i + 1]][order[new]], k
+        elif i in short:
+            yield np.array([short[i]], dtype=np.uint64), words.first[i : i + 1], int(words.n[i])
         else:
-            yield np.array([few[i]], dtype=np.uint64) if i in few else own
+            yield own, at[:0], k
+
 
+def _signatures(k: int, seed: int):
+    """The count of n-grams, and BLAKE2 over their words in the order of their hashes: equal for equal sets only."""
 
-def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
-                found = [(len(s), int(np.sum(mix(s), dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(77)))) if len(s) else 0) for s in shingle_sets(rows, data, bounds, k)]
-                n, a, b = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([rows.column("__key"), pa.array(n), pa.array(a), pa.array(b)], names=["key", "n", "s1", "s2"])
+                words = Words(lower_ascii(data), bounds)
+                plain = words.data.tobytes()
+                joined = b" ".join([plain[a:b] for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True)])
+                ends = np.append(0, np.cumsum(words.end - words.start + 1))
+                n, marks = [], []
+                for own, at, size in _placed_sets(words, k, seed):
+                    n.append(len(own))
+                    marks.append(hashlib.blake2b(b"\n".join([joined[a:b] for a, b in zip(ends[at].tolist(), (ends[at + size] - 1).tolist(), strict=True)]), digest_size=16).digest())
+                yield pa.RecordBatch.from_arrays([rows.column("__key"), pa.array(n, pa.int64()), pa.array(marks, pa.binary())], names=["key", "n", "mark"])
 
     return run
 
 
-def _lists(k: int, percent: int):
+def _lists(k: int, percent: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
-                sets = list(shingle_sets(rows, data, bounds, k))
+                sets = list(shingle_sets(data, bounds, k, seed))
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 p = np.minimum(n, n - _need(n, percent) + _margin(n))
                 tokens = np.concatenate([s[:q] for s, q in zip(sets, p.tolist(), strict=True)])
@@ -87,11 +108,11 @@ def _lists(k: int, percent: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
-                sets = [s.tobytes() for s in shingle_sets(rows, data, bounds, k)]
+                sets = [s.tobytes() for s in shingle_sets(data, bounds, k, seed)]
                 yield pa.RecordBatch.from_arrays([rows.column("__key"), rows.column("block"), pa.array(sets, pa.binary())], names=["key", "block", "tokens"])
 
     return run
@@ -188,17 +209,18 @@ def _search(percent: int):
 
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(key, n_shingles, class_id, component_id) of every row. class_id: the least key with an equal set."""
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.coalesce(text, F.lit("")).alias("__text"))
+    rows = docs.select(col(key).cast("long").alias("__key"), F.coalesce(col(text), F.lit("")).alias("__text"))
+    seed = fresh_seed()
     # 1. classes of equal sets
-    marks = table(rows.mapInArrow(_signatures(k), "key long, n long, s1 long, s2 long"), "sets")
-    several = marks.where("n > 0 and key is not null").groupBy("n", "s1", "s2").agg(F.min("key").alias("cls"), F.count("*").alias("c")).where("c > 1").drop("c")
-    classes = table(marks.join(several, ["n", "s1", "s2"], "left").select("key", "n", F.coalesce("cls", "key").alias("cls")), "classes")
+    marks = table(rows.mapInArrow(_signatures(k, seed), "key long, n long, mark binary"), "sets")
+    several = table(marks.where("n > 0 and key is not null").groupBy("n", "mark").agg(F.min("key").alias("cls"), F.count("*").alias("c")).where("c > 1").drop("c"), "several")
+    classes = table(marks.join(small(several, 64), ["n", "mark"], "left").select("key", "n", F.coalesce("cls", "key").alias("cls")), "classes")
     mixed = classes.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.min("n").alias("m"), F.max("n").alias("o")).where("a <> b or m <> o").select("key")
     copies = table(classes.where("key > cls").select("key").distinct().join(mixed, "key", "left_anti"), "copies")
     single = rows.where("__key is not null").join(small(copies, 32).withColumnRenamed("key", "__key"), "__key", "left_anti")
 
     # 2. lists, and the sets that share enough of theirs
-    lists = single.mapInArrow(_lists(k, percent), "t long, key long, n int")
+    lists = single.mapInArrow(_lists(k, percent, seed), "t long, key long, n int")
     shared = lists.groupBy("t").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("df")).where("a < b").select("t", "df")
     met = lists.join(shared, "t").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("lists"))
     need = f"(({percent} * n + 99) div 100)"
@@ -207,13 +229,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     # 3. blocks
     meets = kept.select("key", F.explode("kept").alias("t"))
-    hubs = meets.groupBy("t").agg(F.min("key").alias("hub"))
-    blocks = table(components(meets.join(hubs, "t").where("key > hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))), "blocks").select(F.col("id").alias("__key"), F.col("component").alias("block"))
+    hubs = table(meets.groupBy("t").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").drop("last"), "hubs")
+    blocks = table(components(meets.join(small(hubs, 40), "t").where("key > hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))), "blocks").select(F.col("id").alias("__key"), F.col("component").alias("block"))
 
     # 4. all against the pivot
-    sets = table(rows.join(small(blocks, 40), "__key").mapInArrow(_sets(k), "key long, block long, tokens binary"), "tokens")
-    pivots = sets.where("key = block").select("block", F.col("tokens").alias("pivot"))
-    measured = table(sets.join(pivots, "block").mapInArrow(_overlaps, "key long, block long, tokens binary, shared long, pivot_n long").withColumn("n", F.expr("octet_length(tokens) div 8")).selectExpr("key", "block", "tokens", f"not (100 * shared >= {percent} * (n + pivot_n - shared)) as outer", "1 - shared / (n + pivot_n - shared) as far"), "measured")
+    sets = table(rows.join(small(blocks, 40), "__key").mapInArrow(_sets(k, seed), "key long, block long, tokens binary"), "tokens")
+    pivots = table(sets.where("key = block").select("block", F.col("tokens").alias("pivot")), "pivots")
+    measured = table(sets.join(small_by(pivots, F.octet_length("pivot") + 40), "block").mapInArrow(_overlaps, "key long, block long, tokens binary, shared long, pivot_n long").withColumn("n", F.expr("octet_length(tokens) div 8")).selectExpr("key", "block", "tokens", f"not (100 * shared >= {percent} * (n + pivot_n - shared)) as outer", "1 - shared / (n + pivot_n - shared) as far"), "measured")
     direct = measured.where("not outer and key <> block").select(F.col("key").alias("a"), F.col("block").alias("b"))
 
     # 5. the others search

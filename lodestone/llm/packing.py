@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, col, packed, table, unpacked
 from .tokens import library_encoder
 
 #: Pieces in a block, islands of a block, epochs, generations in an epoch, individuals of an island.
@@ -55,7 +55,7 @@ def cut_documents(docs: DataFrame, file: str, capacity: int = 1024, end_id: int
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(parts, pa.binary())] * keep_ids)], names=[key, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(col(key).cast("long").alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"`{key}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
@@ -214,8 +214,8 @@ def _evolved(items: DataFrame, capacity: int, block: int, epochs: int) -> DataFr
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
-    """The pieces (with a column length, at most the capacity) with sequence_id and offset."""
-    named = table(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    """The pieces (with a column length, at most the capacity) with sequence_id and offset, which replace columns of these names."""
+    named = table(packed(pieces, col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("uid")), "pieces")
     full = named.where(F.col("length") >= capacity).select("uid", (F.col("uid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = table(_evolved(named.where(F.col("length") < capacity).select("uid", "length"), capacity, block, epochs), "packed")
     number = lambda kind: ((F.col("block") * (1 << 20) + F.col("bin")) * 4 + kind).alias("sequence_id")
@@ -223,7 +223,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, block: int = BLOCK, epochs: in
     loose = first.where(F.col("fill") < capacity * 0.97)
     again = _evolved(loose.select("uid", "length"), capacity, block, epochs)
     placed = full.unionByName(first.where(F.col("fill") >= capacity * 0.97).select("uid", number(1), "offset")).unionByName(again.select("uid", number(2), "offset"))
-    return named.join(placed, "uid").drop("uid")
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    return named.join(placed, "uid").select(*unpacked(kept), "sequence_id", "offset")
 
 
 def assemble(packed: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, packed, unpacked
+
 #: What stands before a secret.
 SECRET = r"(?:[Pp]ass(?:word|wd)|PASSWORD|PASSWD|[Pp]wd|PWD|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi[_\- ]?[Kk]ey|API[_\- ]?KEY)[\x22\x27]?[ \t]*(?:=>|:=|[=:])[ \t]*"
 #: No card number begins here.
@@ -163,14 +165,13 @@ def _pseudonym(v: str, key: str) -> str:
         else {v} end"""
 
 
-def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with the text's personal data replaced, and __n_found, the number of finds (what is found in one run of numbers counts as one)."""
-    names = docs.columns
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", added: str = "__n_found") -> DataFrame:
+    """docs with the text's personal data replaced, and the number of values that were, under the added name (what is found in one run of numbers counts as one)."""
     pattern = _q("|".join(PATTERNS.values()))
-    found = docs.withColumn("__found", F.expr(f"regexp_extract_all(`{text}`, {pattern}, 0)"))
+    out = packed(docs, col(text).alias("text")).withColumn("found", F.expr(f"regexp_extract_all(text, {pattern}, 0)"))
     run = _q(f"^(?:{PATTERNS['run']})$")
-    fresh = f"transform(__parts, parts -> array_join(transform(parts, v -> {_pseudonym('v', key)}), ''))"
-    woven = _let("rest", f"split(`{text}`, {pattern}, -1)", f"concat(element_at(rest, 1), array_join(flatten(zip_with({fresh}, slice(rest, 2, size(__found)), (a, b) -> array(a, b))), ''))")
-    found = found.withColumn("__parts", F.expr(f"transform(__found, f -> if(f rlike {run}, {_parts('f')}, array(f)))"))
-    out = found.withColumn(text, F.expr(f"if(size(__found) > 0, {woven}, `{text}`)"))
-    return out.select(*names, F.coalesce(F.size("__found"), F.lit(0)).alias("__n_found"))
+    out = out.withColumn("parts", F.expr(f"transform(found, f -> if(f rlike {run}, {_parts('f')}, array(f)))"))
+    out = out.withColumn("fresh", F.expr(f"transform(parts, part -> array_join(transform(part, v -> {_pseudonym('v', key)}), ''))"))
+    woven = _let("rest", f"split(text, {pattern}, -1)", "concat(element_at(rest, 1), array_join(flatten(zip_with(fresh, slice(rest, 2, size(found)), (a, b) -> array(a, b))), ''))")
+    out = out.withColumn("changed", F.expr("coalesce(size(filter(zip_with(found, fresh, (a, b) -> a <> b), c -> c)), 0)"))
+    return out.select(*unpacked(docs.columns, **{text: F.expr(f"if(changed > 0, {woven}, text)")}), F.col("changed").alias(added))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, col, unpacked, with_row
 from .tokens import PieceEncoder
 
 #: The pattern for which pieces may be cut at single spaces and newlines; fixed value of the public tokenizer.
@@ -157,11 +157,10 @@ def encode(docs: DataFrame, file: str, pattern: str = SPACED_PATTERN, text: str
         encoder, bpe = piece_encoder(file, pattern)
         token = [bpe.bytes_of.get(i, b"") for i in range(max(bpe.bytes_of) + 1)]
         for batch in batches:
-            for rows, data, bounds, _ in chunks(batch, "__text"):
+            for rows, data, bounds, _ in chunks(batch):
                 ids = encoder.chunk(data, bounds)
                 decoded = [b"".join([token[i] for i in np.frombuffer(x, dtype="<u4").tolist()]) for x in ids]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["row", "ids", "decoded"])
 
-    rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, ids binary, decoded binary")
+    rows = docs.select(F.struct(*map(col, keep)).alias("row"), F.coalesce(col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, with_row(rows, "ids binary, decoded binary")).select(*unpacked(list(keep)), "ids", "decoded")

@@ -47,12 +47,16 @@ def op4_divideskip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
 
 
+#: Rules that come before those whose order is found.
+BASE = (rules.Rule("too_short", "n_words < 50"), rules.Rule("repetition", "100 * n_repeat_words > 50 * n_words"))
+
+
 def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    order = rules.order_rules(docs)
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    out = rules.measures(docs).withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rules.verdict(order)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = rules.judged(docs, rules.order_rules(docs, first=BASE))
+    failed = F.coalesce(F.col("quality.failed").isin(*(r.name for r in BASE)), F.lit(False)).alias("base_failed")
+    counts = [f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *counts, failed, F.col("quality.failed").isNull().alias("kept"))
 
 
 def op6_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import col, packed, unpacked
+
 SLOTS = 8192
 
 
@@ -85,11 +87,13 @@ def rebalance(measured: DataFrame, path: str, version: int, shards: int, slots:
 
 
 def place(records: DataFrame, measured: DataFrame, owners: DataFrame, order: list[str]) -> DataFrame:
-    """records (vslot, size, ...) with shard and slot, the place in the shard, gapless from 0.
+    """records (vslot, size, ...) with shard and slot, the place in the shard, gapless from 0; these replace columns of their names.
 
     The sides that are broadcast have one row for each virtual slot.
     """
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
-    starts = owners.withColumnRenamed("slot", "vslot").join(F.broadcast(measured.withColumnRenamed("slot", "vslot").select("vslot", "rows")), "vslot").select("vslot", "shard", F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy(*order)) - 1
-    return records.withColumn("__within", within).join(F.broadcast(starts), "vslot").withColumn("slot", (F.col("__before") + F.col("__within")).cast("long")).drop("__before", "__within")
+    starts = owners.withColumnRenamed("slot", "vslot").join(F.broadcast(measured.withColumnRenamed("slot", "vslot").select("vslot", "rows")), "vslot").select("vslot", "shard", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("vslot").orderBy(*(F.col("row").getField(c) for c in order))) - 1
+    placed = packed(records, col("vslot").alias("vslot")).withColumn("within", within).join(F.broadcast(starts), "vslot")
+    kept = [c for c in records.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*unpacked(kept), "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"))

@@ -14,7 +14,7 @@ Nodes are runs of k - 1 words, edges runs of k words (windows). Only edges that
 
 Defined results: null texts have no words; rows with a null key stay out and stay whole; rows that are equal in key and text
 get equal results; rows that share a key but differ in text (told apart by 64 bits of hash) are each cut by what smaller keys have, not by each other; texts
-with fewer than k words have no windows; other columns pass through ``remove_spans`` untouched, whatever their names.
+with fewer than k words have no windows; other columns pass through ``remove_spans`` untouched, whatever their names (the names of the two added ones are the caller's to choose).
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, mix, signed, small, sums, table
+from .common import Words, chunks, col, fresh_seed, grams, mix, packed, run_hashes, signed, small, small_by, table, unpacked, with_row
 
 #: Words in a minimizer.
 MINIMIZER = 5
-_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE2_INV = np.uint64(pow(int(_BASE2), -1, 1 << 64))
+_OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -43,12 +42,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _minimizers(k: int, m: int):
+def _minimizers(k: int, m: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
                 words = Words(data, bounds)
-                h, n = words.hashes(), len(words.start)
+                h, n = words.hashes(seed), len(words.start)
                 if n < k:
                     continue
                 windows = np.flatnonzero(words.doc[: n - k + 1] == words.doc[k - 1 :])
@@ -82,12 +81,12 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(out, pa.list_(pa.int32()))], names=["key", "row", "ranges"])
 
 
-def _edges(k: int):
+def _edges(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
                 words = Words(data, bounds)
-                h, n = words.hashes(), len(words.start)
+                h, n = words.hashes(seed), len(words.start)
                 if n < k:
                     continue
                 ranges = rows.column("ranges")
@@ -101,7 +100,7 @@ def _edges(k: int):
                 _, e = grams(h, words.doc, k)
                 where = np.flatnonzero(words.doc[: n - k + 1] == words.doc[k - 1 :])
                 e = e[np.searchsorted(where, at)]
-                check = (mix(sums(mix(h + np.uint64(1)), at, at + k, _BASE2, _BASE2_INV)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                check = (run_hashes(mix(h ^ _OTHER), k)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc = words.doc[at]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(e)), pa.array(check), pa.array(rows.column("__key").to_numpy()[doc]), pa.array(rows.column("__row").to_numpy()[doc]), pa.array(at - words.first[doc], pa.int32())], names=["e", "c", "key", "row", "at"])
 
@@ -143,8 +142,8 @@ class Repeats:
 
 def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str = "text") -> Repeats:
     """Spans of k words and more that start in a document with a smaller key too."""
-    m = min(MINIMIZER, k)
-    rows = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__row")).where("__key is not null and __text is not null")
+    m, seed = min(MINIMIZER, k), fresh_seed()
+    rows = docs.select(col(key).cast("long").alias("__key"), col(text).alias("__text"), F.xxhash64(col(text)).alias("__row")).where("__key is not null and __text is not null")
 
     digests = rows.select(F.col("__key").alias("key"), F.col("__row").alias("row"), F.unhex(F.md5(F.encode("__text", "utf-8"))).alias("digest"))
     digests = table(digests, "digests")
@@ -155,14 +154,13 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     whole = small(copies, 64).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
     single = single.join(whole, ["__key", "__digest"], "left_anti").select("__key", "__row", "__text")
 
-    places = single.mapInArrow(_minimizers(k, m), "h long, key long, row long, at int, n int")
+    places = single.mapInArrow(_minimizers(k, m, seed), "h long, key long, row long, at int, n int")
     repeated = places.select("h", "key").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h")
     found = places.join(repeated, "h", "left_semi").groupBy("key", "row").agg(F.collect_list(F.struct("at", "n")).alias("r"))
     ranges = table(found.mapInArrow(_merged, "key long, row long, ranges array<int>"), "ranges")
 
-    size = ranges.agg(F.sum(F.size("ranges") * 4 + 40)).first()[0] or 0
-    wanted = ranges.withColumnsRenamed({"key": "__key", "row": "__row"})
-    edges = single.join(F.broadcast(wanted) if size <= 32 << 20 else wanted, ["__key", "__row"]).select("__key", "__row", "__text", "ranges").mapInArrow(_edges(k), "e long, c int, key long, row long, at int")
+    wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 40)
+    edges = single.join(wanted, ["__key", "__row"]).select("__key", "__row", "__text", "ranges").mapInArrow(_edges(k, seed), "e long, c int, key long, row long, at int")
     known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last"), F.count("*").alias("n"), F.sum("at").alias("places"), F.bit_xor(F.xxhash64("key")).alias("who")).where("source < last")
     # As a table: the join back is then by broadcast, or a plain shuffled one whose common edges Spark can split.
     known = table(known.drop("last"), "edges")
@@ -172,8 +170,8 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     return Repeats(copies, table(spans, "spans"), k)
 
 
-def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: str = "text", joined: bool = False) -> DataFrame:
-    """docs without the words in the spans, with n_words and n_removed (longs).
+def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: str = "text", joined: bool = False, added: tuple[str, str] = ("__n_words", "__n_removed")) -> DataFrame:
+    """docs without the words in the spans, and two longs of the added names: a text's words, and how many of them are removed.
 
     joined: the kept words with one space between them. Else the rest of the text keeps its white space: a removed run goes with the white space
     behind it, and texts of which nothing is removed stay as they are.
@@ -185,22 +183,18 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
         if(size(a) > 0 and element_at(a, -1).end >= x.start,
            concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end))),
            concat(a, array(x))))"""
-    cuts = cuts.withColumn("__cuts", F.expr(merge)).select("key", "row", F.expr("flatten(transform(__cuts, x -> array(x.start, x.end)))").alias("__cuts"))
-    cuts = table(cuts, "cuts")
-    size = cuts.agg(F.sum(F.size("__cuts") * 4 + 40)).first()[0] or 0
-    copied = table(repeats.copies.select("key", "row").distinct().select("key", "row", F.lit(True).alias("__copy")), "copied")
+    cuts = cuts.withColumn("__cuts", F.expr(merge)).select(F.col("key").alias("__key"), F.col("row").alias("__row"), F.expr("flatten(transform(__cuts, x -> array(x.start, x.end)))").alias("cuts"))
+    copied = table(repeats.copies.select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct().withColumn("copy", F.lit(True)), "copied")
 
-    own = {"key": "__key", "row": "__row"}
-    out = docs.withColumn("__key", F.col(key).cast("long")).withColumn("__row", F.xxhash64(text))
-    out = out.join((F.broadcast(cuts) if size <= 32 << 20 else cuts).withColumnsRenamed(own), list(own.values()), "left")
-    out = out.join(small(copied, 48).withColumnsRenamed(own), list(own.values()), "left").drop(*own.values())
-    names = [f.name for f in docs.schema.fields]
+    out = packed(docs, col(key).cast("long").alias("__key"), F.xxhash64(col(text)).alias("__row"), col(text).alias("text"))
+    out = out.join(small_by(table(cuts, "cuts"), F.size("cuts") * 4 + 40), ["__key", "__row"], "left")
+    out = out.join(small(copied, 48), ["__key", "__row"], "left").select("row", "text", "cuts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, bounds, valid in chunks(batch, text):
+            for rows, data, bounds, valid in chunks(batch):
                 raw, kept, n_words, n_removed = data.tobytes(), [], [], []
-                for a, b, cut, copy, there in zip(bounds[:-1].tolist(), bounds[1:].tolist(), rows.column("__cuts").to_pylist(), rows.column("__copy").to_pylist(), valid.tolist(), strict=True):
+                for a, b, cut, copy, there in zip(bounds[:-1].tolist(), bounds[1:].tolist(), rows.column("cuts").to_pylist(), rows.column("copy").to_pylist(), valid.tolist(), strict=True):
                     value = raw[a:b]
                     words = value.split()
                     n = len(words)
@@ -214,11 +208,10 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
                     n_words.append(n)
                     n_removed.append(gone)
                     kept.append(value if there or joined else None)
-                columns = [pa.array(kept, pa.binary()).cast(pa.string()) if c == text else rows.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "__n_words", "__n_removed"])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["row", "kept", "n_words", "n_removed"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return out.mapInArrow(run, f"{fields}, __n_words long, __n_removed long")
+    done = out.mapInArrow(run, with_row(out, "kept string, n_words long, n_removed long"))
+    return done.select(*unpacked(docs.columns, **{text: F.col("kept")}), F.col("n_words").alias(added[0]), F.col("n_removed").alias(added[1]))
 
 
 def _without(value: bytes, cut: list[int]) -> bytes:

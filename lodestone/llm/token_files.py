@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, scratch
+from .common import chunks, col, mix, scratch
 from .tokens import library_encoder
 
 #: Bytes of ids in a shard (a longer document has a shard of its own), and keys in a bucket.
@@ -155,7 +155,7 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> TokenFiles:
     """Encodes, writes and indexes all rows of docs; see the module's docstring."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = docs.select(col(key).cast("long").alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
     parts = max(1, rows.rdd.getNumPartitions())  # as many as the table is read in
     name = f"token_ids_{uuid.uuid4().hex}"
     ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key")
@@ -180,5 +180,5 @@ def write_token_files(docs: DataFrame, file: str, key: str = "doc_id", text: str
 
 def all_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every (key, ordinal) of a table."""
-    counted = docs.groupBy(F.col(key).cast("long").alias("key")).count()
+    counted = docs.groupBy(col(key).cast("long").alias("key")).count()
     return counted.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("ordinal"))
