@@ -1,16 +1,20 @@
 """Repeated spans and their removal by a compacted de Bruijn graph (operator 3).
 
-Nodes are runs of k - 1 words, edges runs of k words (windows). Only edges that stand in two documents matter:
+Edges are runs of k words (windows), nodes the runs of k - 1 words at their ends. Only edges that stand in two documents matter:
 
 1. Exact copies of a text are told by its digest. They are wholly repeated and stay out of the graph.
 2. Each window has a minimizer, the least hash of m words in it; equal windows have equal minimizers. Minimizers that stand in
    one document only rule out their windows, about one row for each five words. This is exact: it never loses an edge.
 3. The other windows become edges, told apart by 96 bits of hash. One aggregation (pre-aggregated in each task, so common edges cost little)
-   gives each edge its first document and the sums of its coordinates; a join takes these back to the documents.
-4. Along a document, neighbouring edges whose coordinates agree in full (as many places, the same documents, every place one word on) have no
-   branch between them and are compacted to a path: a span of words with the document where it stands first.
+   gives each edge its source, the document with the least key that has it; the source's coordinates (row and place) stay with the edge.
+4. A node with one edge in and one edge out is nonbranching. A join takes these nodes to the edges, and neighbouring edges of a source with such a
+   node between them are compacted to a path: a window over the source's places, so no group is larger than a document.
+5. A join takes the paths to the documents. Neighbouring places that walk along one path are a span: words of the document, and the place where its
+   source has them.
+6. Each distinct stretch of a source that a span names is read there once and digested (BLAKE2, 128 bits). ``remove_spans`` takes a span out only if the
+   document's own words have that digest.
 
-``repeated_spans`` gives the paths; ``remove_spans`` takes the covered words out.
+``repeated_spans`` gives the spans; ``remove_spans`` takes the covered words out.
 
 Defined results: null texts have no words; rows with a null key stay out and stay whole; rows that are equal in key and text
 get equal results; rows that share a key but differ in text (told apart by 64 bits of hash) are each cut by what smaller keys have, not by each other; texts
@@ -19,11 +23,12 @@ with fewer than k words have no windows; other columns pass through ``remove_spa
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, col, fresh_seed, grams, mix, packed, run_hashes, signed, small, small_by, table, unpacked, with_row
@@ -107,34 +112,64 @@ def _edges(k: int, seed: int):
     return run
 
 
-def _paths(k: int):
-    """Neighbouring places with one path signature become a span."""
+def _nodes(k: int, seed: int):
+    """The nodes before and behind each edge, at its source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], []]
-            cuts = [0]
-            for row in batch.column("places"):
-                v = row.values
-                at, source, path = (v.field(i).to_numpy() for i in range(3))
-                order = np.argsort(at, kind="stable")
-                at, source, path = at[order], source[order], path[order]
+            for rows, data, bounds, _ in chunks(batch, "__text"):
+                words = Words(data, bounds)
+                h = words.hashes(seed)
+                lists = rows.column("edges")
+                doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+                at, e, c = lists.flatten().flatten()
+                place = words.first[doc] + at.to_numpy()
+                nodes = run_hashes(h, k - 1) if k > 1 else np.zeros(len(h) + 1, dtype=np.uint64)
+                columns = [e, c, rows.column("__key").take(pa.array(doc)), rows.column("__row").take(pa.array(doc)), at, pa.array(signed(nodes[place])), pa.array(signed(nodes[place + 1]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["e", "c", "source", "source_row", "source_at", "before", "behind"])
+
+    return run
+
+
+def _walks(k: int):
+    """Neighbouring places that are neighbours on one path too become a span. A step is (path, place here and place in the source in one integer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                path, places = (x.to_numpy() for x in batch.column("steps")[i].values.flatten())
+                order = np.argsort(places, kind="stable")
+                path, at, source_at = path[order], places[order] >> 32, places[order] & 0xFFFFFFFF
                 keep = np.r_[True, at[1:] != at[:-1]]  # rows equal in key and text bring each place twice
-                at, source, path = at[keep], source[keep], path[keep]
-                new = np.r_[True, (at[1:] != at[:-1] + 1) | (path[1:] != path[:-1]) | (source[1:] != source[:-1])]
-                first = np.flatnonzero(new)
-                for column, x in zip(cols, (at[first], np.diff(np.append(first, len(at))) + k - 1, source[first]), strict=True):
-                    column.append(x)
-                cuts.append(cuts[-1] + len(first))
-            kinds = {"start": pa.int32(), "n_words": pa.int32(), "source": pa.int64()}
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *c]), t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)], names=["key", "row", "spans"])
+                path, at, source_at = path[keep], at[keep], source_at[keep]
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1) | (path[1:] != path[:-1])])
+                n = np.diff(np.append(first, len(at))) + k - 1
+                own = [np.full(len(first), batch.column(c)[i].as_py()) for c in ("key", "row")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(path[first]), pa.array(at[first], pa.int32()), pa.array(source_at[first], pa.int32()), pa.array(n, pa.int32())], names=["key", "row", "path", "start", "source_at", "n_words"])
 
     return run
 
 
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of stretches of sources."""
+    for batch in batches:
+        for i in range(len(batch)):
+            words = batch.column("__text")[i].as_buffer().to_pybytes().split()
+            at, n = (x.to_numpy() for x in batch.column("stretches")[i].values.flatten())
+            digests = [_digest(words[a : a + m]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
+            own = [np.full(len(at), batch.column(c)[i].as_py()) for c in ("__key", "__row")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=["source", "source_row", "source_at", "n_words", "digest"])
+
+
 class Repeats:
-    """What repeats in a table: copies (key, row, digest, source) of whole texts, and spans (key, row, array of start, n_words, source); row: hash of the text."""
+    """What repeats in a table: copies (key, row, digest, source) of whole texts, and spans (key, row, start, n_words, source, source_row, source_at, digest).
+
+    row, source_row: hash of the text; digest: of the source's words.
+    """
 
     def __init__(self, copies: DataFrame, spans: DataFrame, k: int):
         self.copies, self.spans, self.k = copies, spans, k
@@ -161,13 +196,33 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
 
     wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 40)
     edges = single.join(wanted, ["__key", "__row"]).select("__key", "__row", "__text", "ranges").mapInArrow(_edges(k, seed), "e long, c int, key long, row long, at int")
-    known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last"), F.count("*").alias("n"), F.sum("at").alias("places"), F.bit_xor(F.xxhash64("key")).alias("who")).where("source < last")
-    # As a table: the join back is then by broadcast, or a plain shuffled one whose common edges Spark can split.
-    known = table(known.drop("last"), "edges")
-    path = F.hash("n", "who", F.col("places") - F.col("n") * F.col("at")).alias("path")
-    later = edges.join(small(known, 64), ["e", "c"]).where("key > source").select("key", "row", F.struct("at", "source", path).alias("p"))
-    spans = later.groupBy("key", "row").agg(F.collect_list("p").alias("places")).mapInArrow(_paths(k), "key long, row long, spans array<struct<start:int,n_words:int,source:long>>")
-    return Repeats(copies, table(spans, "spans"), k)
+    known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last")).where("source < last").drop("last")
+    # Small sides are tables: a join with one is then by broadcast, or a plain shuffled one whose common edges Spark can split.
+    seen = table(edges.join(small(table(known, "edges"), 64), ["e", "c"]), "seen")
+
+    # The graph, with the coordinates of each edge in its source
+    own = table(seen.where("key = source").groupBy("e", "c", "source").agg(F.min(F.struct("row", "at")).alias("first")).select("e", "c", "source", F.col("first.row").alias("source_row"), F.col("first.at").alias("at")), "own")
+    lists = own.groupBy(F.col("source").alias("__key"), F.col("source_row").alias("__row")).agg(F.collect_list(F.struct("at", "e", "c")).alias("edges"))
+    graph = table(single.join(lists, ["__key", "__row"]).select("__key", "__row", "__text", "edges").mapInArrow(_nodes(k, seed), "e long, c int, source long, source_row long, source_at int, before long, behind long"), "graph")
+    one = lambda end: graph.groupBy(F.col(end).alias("node")).agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a = b").select("node")
+    plain = table(one("before").join(one("behind"), "node"), "nonbranching")
+    linked = graph.join(small(plain.select(F.col("node").alias("before"), F.lit(True).alias("plain")), 32), "before", "left")
+    along = Window.partitionBy("source", "source_row").orderBy("source_at")
+    begins = F.when(F.col("plain") & (F.lag("source_at").over(along) == F.col("source_at") - 1), F.lit(None)).otherwise(F.col("source_at"))
+    began = F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    paths = linked.withColumn("begins", begins).select("e", "c", "source", "source_row", "source_at", F.xxhash64("source", "source_row", began).alias("path"))
+    paths = table(paths, "paths")
+
+    # Walks along the paths, and what their sources have there
+    later = seen.where("key > source").select("e", "c", "key", "row", "at").join(small(paths.select("e", "c", "path", "source_at"), 64), ["e", "c"])
+    steps = later.select("key", "row", F.struct("path", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("source_at").cast("long")).alias("places")).alias("s"))
+    walks = steps.groupBy("key", "row").agg(F.collect_list("s").alias("steps")).mapInArrow(_walks(k), "key long, row long, path long, start int, source_at int, n_words int")
+    heads = table(paths.select("path", "source", "source_row").distinct(), "heads")
+    walks = table(table(walks, "walks").join(small(heads, 64), "path").drop("path"), "placed")
+    asked = walks.select("source", "source_row", "source_at", "n_words").distinct().groupBy(F.col("source").alias("__key"), F.col("source_row").alias("__row")).agg(F.collect_list(F.struct("source_at", "n_words")).alias("stretches"))
+    digests = single.join(asked, ["__key", "__row"]).select("__key", "__row", "__text", "stretches").mapInArrow(_read, "source long, source_row long, source_at int, n_words int, digest binary")
+    digests = table(digests.dropDuplicates(["source", "source_row", "source_at", "n_words"]), "stretches")
+    return Repeats(copies, table(walks.join(small(digests, 96), ["source", "source_row", "source_at", "n_words"]), "spans"), k)
 
 
 def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: str = "text", joined: bool = False, added: tuple[str, str] = ("__n_words", "__n_removed")) -> DataFrame:
@@ -177,29 +232,22 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     behind it, and texts of which nothing is removed stay as they are.
     """
     k = repeats.k
-    cuts = repeats.spans.select("key", "row", F.expr("array_sort(transform(spans, s -> struct(s.start as start, s.start + s.n_words as end)))").alias("__cuts"))
-    # [start, end) of spans, joined where they touch
-    merge = """aggregate(__cuts, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
-        if(size(a) > 0 and element_at(a, -1).end >= x.start,
-           concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end))),
-           concat(a, array(x))))"""
-    cuts = cuts.withColumn("__cuts", F.expr(merge)).select(F.col("key").alias("__key"), F.col("row").alias("__row"), F.expr("flatten(transform(__cuts, x -> array(x.start, x.end)))").alias("cuts"))
+    cuts = repeats.spans.groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("cuts"))
     copied = table(repeats.copies.select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct().withColumn("copy", F.lit(True)), "copied")
 
     out = packed(docs, col(key).cast("long").alias("__key"), F.xxhash64(col(text)).alias("__row"), col(text).alias("text"))
-    out = out.join(small_by(table(cuts, "cuts"), F.size("cuts") * 4 + 40), ["__key", "__row"], "left")
+    out = out.join(small_by(table(cuts, "cuts"), F.size("cuts") * 64 + 40), ["__key", "__row"], "left")
     out = out.join(small(copied, 48), ["__key", "__row"], "left").select("row", "text", "cuts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, valid in chunks(batch):
                 raw, kept, n_words, n_removed = data.tobytes(), [], [], []
-                for a, b, cut, copy, there in zip(bounds[:-1].tolist(), bounds[1:].tolist(), rows.column("cuts").to_pylist(), rows.column("copy").to_pylist(), valid.tolist(), strict=True):
+                for a, b, cuts, copy, there in zip(bounds[:-1].tolist(), bounds[1:].tolist(), rows.column("cuts"), rows.column("copy").to_pylist(), valid.tolist(), strict=True):
                     value = raw[a:b]
                     words = value.split()
                     n = len(words)
-                    if copy:
-                        cut = [0, n] if n >= k else None
+                    cut = [0, n] if copy and n >= k else _cut(words, cuts.as_py()) if cuts.is_valid else None
                     gone = sum(cut[1::2]) - sum(cut[::2]) if cut else 0
                     if joined:
                         value = b" ".join(words) if not gone else b" ".join([w for x, y in zip([0, *cut[1::2]], [*cut[::2], n], strict=True) for w in words[x:y]])
@@ -214,6 +262,20 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     return done.select(*unpacked(docs.columns, **{text: F.col("kept")}), F.col("n_words").alias(added[0]), F.col("n_removed").alias(added[1]))
 
 
+def _cut(words: list[bytes], spans: list[dict]) -> list[int]:
+    """Begin and end of what the spans cover, joined where they touch. A span counts if its words are those of its source."""
+    out: list[int] = []
+    for s in sorted(spans, key=lambda s: s["start"]):
+        a, b = s["start"], s["start"] + s["n_words"]
+        if _digest(words[a:b]) != s["digest"]:
+            continue
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
 def _without(value: bytes, cut: list[int]) -> bytes:
     """The text without the words in [cut[0], cut[1]), [cut[2], cut[3]), ... and the white space behind each run."""
     words = Words(np.frombuffer(value, dtype=np.uint8), np.array([0, len(value)]))

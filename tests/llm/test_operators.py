@@ -225,6 +225,21 @@ def test_spans(spark, folder):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_spans_name_their_sources(spark, folder):
+    """The words at a span's coordinates in its source are the span's own; a span whose words aren't those stays."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = spans.repeated_spans(docs, k=13)
+    words = [(t or "").split() for t in _texts()]
+    rows = found.spans.collect()
+    assert rows
+    for r in rows:
+        assert r.source < r.key and words[r.key][r.start : r.start + r.n_words] == words[r.source][r.source_at : r.source_at + r.n_words]
+    wrong = spans.Repeats(found.copies, found.spans.withColumn("digest", F.expr("reverse(digest)")), 13)
+    kept = spans.remove_spans(docs, wrong)
+    copies = {r.key for r in found.copies.collect()}
+    assert all(not r["__n_removed"] for r in kept.collect() if r.doc_id not in copies)
+
+
 def test_spans_in_place(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = spans.remove_spans(docs, spans.repeated_spans(docs, k=50))
