@@ -35,6 +35,9 @@ from .common import Words, chunks, col, fresh_seed, grams, mix, packed, run_hash
 
 #: Words in a minimizer.
 MINIMIZER = 5
+#: A place in a document and the document's number, in one integer: bits of the place, and the largest place.
+_BITS = 27
+_PLACE = (1 << _BITS) - 1
 _OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
 
 
@@ -94,6 +97,8 @@ def _edges(k: int, seed: int):
                 h, n = words.hashes(seed), len(words.start)
                 if n < k:
                     continue
+                if words.n.max() > _PLACE:
+                    raise ValueError(f"a text has more than {_PLACE} words")
                 ranges = rows.column("ranges")
                 flat = ranges.flatten().to_numpy()
                 doc = np.repeat(np.arange(len(rows)), np.diff(ranges.offsets.to_numpy()))[::2]
@@ -102,12 +107,10 @@ def _edges(k: int, seed: int):
                 np.add.at(step, words.first[doc] + flat[1::2], -1)
                 at = np.flatnonzero(np.cumsum(step)[: n - k + 1] > 0)
                 at = at[words.doc[at] == words.doc[at + k - 1]]
-                _, e = grams(h, words.doc, k)
-                where = np.flatnonzero(words.doc[: n - k + 1] == words.doc[k - 1 :])
-                e = e[np.searchsorted(where, at)]
                 check = (run_hashes(mix(h ^ _OTHER), k)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc = words.doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(e)), pa.array(check), pa.array(rows.column("__key").to_numpy()[doc]), pa.array(rows.column("__row").to_numpy()[doc]), pa.array(at - words.first[doc], pa.int32())], names=["e", "c", "key", "row", "at"])
+                pos = (rows.column("number").to_numpy()[doc] << _BITS) | (at - words.first[doc])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(run_hashes(h, k)[at])), pa.array(check), pa.array(pos)], names=["e", "c", "pos"])
 
     return run
 
@@ -122,11 +125,10 @@ def _nodes(k: int, seed: int):
                 h = words.hashes(seed)
                 lists = rows.column("edges")
                 doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-                at, e, c = lists.flatten().flatten()
-                place = words.first[doc] + at.to_numpy()
+                source, e, c = lists.flatten().flatten()
+                place = words.first[doc] + (source.to_numpy() & _PLACE)
                 nodes = run_hashes(h, k - 1) if k > 1 else np.zeros(len(h) + 1, dtype=np.uint64)
-                columns = [e, c, rows.column("__key").take(pa.array(doc)), rows.column("__row").take(pa.array(doc)), at, pa.array(signed(nodes[place])), pa.array(signed(nodes[place + 1]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["e", "c", "source", "source_row", "source_at", "before", "behind"])
+                yield pa.RecordBatch.from_arrays([e, c, source, pa.array(signed(nodes[place])), pa.array(signed(nodes[place + 1]))], names=["e", "c", "source", "before", "behind"])
 
     return run
 
@@ -136,16 +138,19 @@ def _walks(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                path, places = (x.to_numpy() for x in batch.column("steps")[i].values.flatten())
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for number, steps in zip(batch.column("number").to_pylist(), batch.column("steps"), strict=True):
+                path, places = (x.to_numpy() for x in steps.values.flatten())
                 order = np.argsort(places, kind="stable")
                 path, at, source_at = path[order], places[order] >> 32, places[order] & 0xFFFFFFFF
                 keep = np.r_[True, at[1:] != at[:-1]]  # rows equal in key and text bring each place twice
                 path, at, source_at = path[keep], at[keep], source_at[keep]
                 first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1) | (path[1:] != path[:-1])])
                 n = np.diff(np.append(first, len(at))) + k - 1
-                own = [np.full(len(first), batch.column(c)[i].as_py()) for c in ("key", "row")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(path[first]), pa.array(at[first], pa.int32()), pa.array(source_at[first], pa.int32()), pa.array(n, pa.int32())], names=["key", "row", "path", "start", "source_at", "n_words"])
+                for column, x in zip(out, (np.full(len(first), number), path[first] >> _BITS, at[first], source_at[first], n), strict=True):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *x]), t) for x, t in zip(out, kinds, strict=True)], names=["number", "from", "start", "source_at", "n_words"])
 
     return run
 
@@ -161,8 +166,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = batch.column("__text")[i].as_buffer().to_pybytes().split()
             at, n = (x.to_numpy() for x in batch.column("stretches")[i].values.flatten())
             digests = [_digest(words[a : a + m]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-            own = [np.full(len(at), batch.column(c)[i].as_py()) for c in ("__key", "__row")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=["source", "source_row", "source_at", "n_words", "digest"])
+            number = np.full(len(at), batch.column("number")[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=["from", "source_at", "n_words", "digest"])
 
 
 class Repeats:
@@ -192,37 +197,55 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     places = single.mapInArrow(_minimizers(k, m, seed), "h long, key long, row long, at int, n int")
     repeated = places.select("h", "key").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h")
     found = places.join(repeated, "h", "left_semi").groupBy("key", "row").agg(F.collect_list(F.struct("at", "n")).alias("r"))
-    ranges = table(found.mapInArrow(_merged, "key long, row long, ranges array<int>"), "ranges")
-
-    wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 40)
-    edges = single.join(wanted, ["__key", "__row"]).select("__key", "__row", "__text", "ranges").mapInArrow(_edges(k, seed), "e long, c int, key long, row long, at int")
-    known = edges.groupBy("e", "c").agg(F.min("key").alias("source"), F.max("key").alias("last")).where("source < last").drop("last")
-    # Small sides are tables: a join with one is then by broadcast, or a plain shuffled one whose common edges Spark can split.
-    seen = table(edges.join(small(table(known, "edges"), 64), ["e", "c"]), "seen")
-
-    # The graph, with the coordinates of each edge in its source
-    own = table(seen.where("key = source").groupBy("e", "c", "source").agg(F.min(F.struct("row", "at")).alias("first")).select("e", "c", "source", F.col("first.row").alias("source_row"), F.col("first.at").alias("at")), "own")
-    lists = own.groupBy(F.col("source").alias("__key"), F.col("source_row").alias("__row")).agg(F.collect_list(F.struct("at", "e", "c")).alias("edges"))
-    graph = table(single.join(lists, ["__key", "__row"]).select("__key", "__row", "__text", "edges").mapInArrow(_nodes(k, seed), "e long, c int, source long, source_row long, source_at int, before long, behind long"), "graph")
+    ranges = _numbered(found.mapInArrow(_merged, "key long, row long, ranges array<int>"))
+    known_as = ranges.select(F.col("key").alias("__key"), F.col("row").alias("__row"), "number")
+
+    def texts(lists: DataFrame, column: str, width: int) -> DataFrame:
+        """The texts of numbered documents, with a list for each."""
+        named = table(lists.join(small(known_as, 48), "number"), column)
+        return single.join(small_by(named, F.size(column) * width + 64), ["__key", "__row"]).select("number", "__text", column)
+
+    wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 56)
+    edges = single.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "e long, c int, pos long")
+    number = lambda x: F.shiftright(x, _BITS)
+    known = edges.groupBy("e", "c").agg(F.min("pos").alias("source"), F.max("pos").alias("last")).where(number("source") < number("last")).drop("last")
+
+    # The graph: each edge is read at its source
+    lists = table(known, "edges").groupBy(number("source").alias("number")).agg(F.collect_list(F.struct("source", "e", "c")).alias("edges"))
+    graph = table(texts(lists, "edges", 40).mapInArrow(_nodes(k, seed), "e long, c int, source long, before long, behind long"), "graph")
     one = lambda end: graph.groupBy(F.col(end).alias("node")).agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a = b").select("node")
-    plain = table(one("before").join(one("behind"), "node"), "nonbranching")
-    linked = graph.join(small(plain.select(F.col("node").alias("before"), F.lit(True).alias("plain")), 32), "before", "left")
-    along = Window.partitionBy("source", "source_row").orderBy("source_at")
-    begins = F.when(F.col("plain") & (F.lag("source_at").over(along) == F.col("source_at") - 1), F.lit(None)).otherwise(F.col("source_at"))
-    began = F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    paths = linked.withColumn("begins", begins).select("e", "c", "source", "source_row", "source_at", F.xxhash64("source", "source_row", began).alias("path"))
-    paths = table(paths, "paths")
-
-    # Walks along the paths, and what their sources have there
-    later = seen.where("key > source").select("e", "c", "key", "row", "at").join(small(paths.select("e", "c", "path", "source_at"), 64), ["e", "c"])
-    steps = later.select("key", "row", F.struct("path", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("source_at").cast("long")).alias("places")).alias("s"))
-    walks = steps.groupBy("key", "row").agg(F.collect_list("s").alias("steps")).mapInArrow(_walks(k), "key long, row long, path long, start int, source_at int, n_words int")
-    heads = table(paths.select("path", "source", "source_row").distinct(), "heads")
-    walks = table(table(walks, "walks").join(small(heads, 64), "path").drop("path"), "placed")
-    asked = walks.select("source", "source_row", "source_at", "n_words").distinct().groupBy(F.col("source").alias("__key"), F.col("source_row").alias("__row")).agg(F.collect_list(F.struct("source_at", "n_words")).alias("stretches"))
-    digests = single.join(asked, ["__key", "__row"]).select("__key", "__row", "__text", "stretches").mapInArrow(_read, "source long, source_row long, source_at int, n_words int, digest binary")
-    digests = table(digests.dropDuplicates(["source", "source_row", "source_at", "n_words"]), "stretches")
-    return Repeats(copies, table(walks.join(small(digests, 96), ["source", "source_row", "source_at", "n_words"]), "spans"), k)
+    plain = table(one("before").join(one("behind"), "node").select(F.col("node").alias("before"), F.lit(True).alias("plain")), "nonbranching")
+    along = Window.partitionBy(number("source")).orderBy("source")
+    begins = F.when(F.col("plain") & (F.lag("source").over(along) == F.col("source") - 1), F.lit(None)).otherwise(F.col("source"))
+    linked = graph.join(small(plain, 32), "before", "left").withColumn("begins", begins)
+    paths = linked.withColumn("path", F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).select("e", "c", "source", "path")
+
+    # Walks along the paths. As a table the small side is broadcast, or the join is a plain shuffled one whose common edges Spark can split.
+    later = edges.join(small(table(paths, "paths"), 64), ["e", "c"]).where(number("pos") > number("source"))
+    places = F.shiftleft(F.col("pos").bitwiseAND(_PLACE), 32).bitwiseOR(F.col("source").bitwiseAND(_PLACE))
+    steps = later.groupBy(number("pos").alias("number")).agg(F.collect_list(F.struct("path", places.alias("places"))).alias("steps"))
+    walks = table(steps.mapInArrow(_walks(k), "number long, from long, start int, source_at int, n_words int"), "walks")
+    # A row is cut by smaller keys only: those before the first number of its own key
+    firsts = table(ranges.groupBy("key").agg(F.min("number").alias("lowest")), "firsts")
+    walks = walks.join(small(ranges.select("number", "key", "row"), 48), "number").join(small(firsts, 40), "key").where("`from` < lowest")
+    walks = table(walks.select("key", "row", "start", "n_words", "from", "source_at"), "placed")
+
+    # What their sources have there
+    asked = walks.select("from", "source_at", "n_words").distinct().groupBy(F.col("from").alias("number")).agg(F.collect_list(F.struct("source_at", "n_words")).alias("stretches"))
+    digests = texts(asked, "stretches", 24).mapInArrow(_read, "from long, source_at int, n_words int, digest binary")
+    digests = table(digests.dropDuplicates(["from", "source_at", "n_words"]), "digests")
+    sources = ranges.select(F.col("number").alias("from"), F.col("key").alias("source"), F.col("row").alias("source_row"))
+    found = walks.join(small(digests, 96), ["from", "source_at", "n_words"]).join(small(sources, 48), "from").drop("from")
+    return Repeats(copies, table(found, "spans"), k)
+
+
+def _numbered(ranges: DataFrame) -> DataFrame:
+    """Rows numbered from 0 by key and row, in the order of a range partitioning: a place in its part, and the counts of the parts before."""
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = table(ranges.repartitionByRange("key", "row").sortWithinPartitions("key", "row").select("*", F.spark_partition_id().alias("part"), inside.alias("inside")), "ranges")
+    parts = rows.groupBy("part").count()  # a row for each part
+    before = parts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    return table(rows.join(F.broadcast(before), "part").select("key", "row", "ranges", (F.col("before") + F.col("inside")).alias("number")), "numbered")
 
 
 def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: str = "text", joined: bool = False, added: tuple[str, str] = ("__n_words", "__n_removed")) -> DataFrame:
