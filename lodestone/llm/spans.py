@@ -203,7 +203,9 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     def texts(lists: DataFrame, column: str, width: int) -> DataFrame:
         """The texts of numbered documents, with a list for each."""
         named = table(lists.join(small(known_as, 48), "number"), column)
-        return single.join(small_by(named, F.size(column) * width + 64), ["__key", "__row"]).select("number", "__text", column)
+        # Their few columns first, so that no other text is shuffled if the lists are
+        there = single.join(small(named.select("__key", "__row"), 48), ["__key", "__row"], "left_semi")
+        return there.join(small_by(named, F.size(column) * width + 64), ["__key", "__row"]).select("number", "__text", column)
 
     wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 56)
     edges = single.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "e long, c int, pos long")
@@ -256,10 +258,11 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     """
     k = repeats.k
     cuts = repeats.spans.groupBy(F.col("key").alias("__key"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n_words", "digest")).alias("cuts"))
+    cuts = table(cuts.mapInArrow(_dense, "__key long, __row long, cuts binary"), "cuts")
     copied = table(repeats.copies.select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct().withColumn("copy", F.lit(True)), "copied")
 
     out = packed(docs, col(key).cast("long").alias("__key"), F.xxhash64(col(text)).alias("__row"), col(text).alias("text"))
-    out = out.join(small_by(table(cuts, "cuts"), F.size("cuts") * 64 + 40), ["__key", "__row"], "left")
+    out = out.join(small_by(cuts, F.octet_length("cuts") + 40), ["__key", "__row"], "left")
     out = out.join(small(copied, 48), ["__key", "__row"], "left").select("row", "text", "cuts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,17 +288,33 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     return done.select(*unpacked(docs.columns, **{text: F.col("kept")}), F.col("n_words").alias(added[0]), F.col("n_removed").alias(added[1]))
 
 
-def _cut(words: list[bytes], spans: list[dict]) -> list[int]:
+#: A span in a row's cuts.
+_SPAN = np.dtype([("start", "<i4"), ("n_words", "<i4"), ("digest", "V16")])
+
+
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each row as bytes, by their start."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("cuts"):
+            start, n_words, digest = spans.values.flatten()
+            dense = np.empty(len(start), dtype=_SPAN)
+            dense["start"], dense["n_words"] = start.to_numpy(), n_words.to_numpy()
+            dense["digest"] = np.frombuffer(b"".join(digest.to_pylist()), dtype="V16")
+            out.append(dense[np.argsort(dense["start"], kind="stable")].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__row"), pa.array(out, pa.binary())], names=["__key", "__row", "cuts"])
+
+
+def _cut(words: list[bytes], spans: bytes) -> list[int]:
     """Begin and end of what the spans cover, joined where they touch. A span counts if its words are those of its source."""
     out: list[int] = []
-    for s in sorted(spans, key=lambda s: s["start"]):
-        a, b = s["start"], s["start"] + s["n_words"]
-        if _digest(words[a:b]) != s["digest"]:
+    for a, n, digest in np.frombuffer(spans, dtype=_SPAN).tolist():
+        if _digest(words[a : a + n]) != digest:
             continue
         if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
+            out[-1] = max(out[-1], a + n)
         else:
-            out += [a, b]
+            out += [a, a + n]
     return out
 
 
