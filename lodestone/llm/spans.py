@@ -9,8 +9,8 @@ Edges are runs of k words (windows), nodes the runs of k - 1 words at their ends
    gives each edge its source, the document with the least key that has it; the source's coordinates (row and place) stay with the edge.
 4. A node with one edge in and one edge out is nonbranching. A join takes these nodes to the edges, and neighbouring edges of a source with such a
    node between them are compacted to a path: a window over the source's places, so no group is larger than a document.
-5. A join takes the paths to the documents. Neighbouring places that walk along one path are a span: words of the document, and the place where its
-   source has them.
+5. A join takes the paths to the documents. Neighbouring places that walk along a path, or from one path of a source on to its next, are a span: words
+   of the document, and the place where its source has them.
 6. Each distinct stretch of a source that a span names is read there once and digested (BLAKE2, 128 bits). ``remove_spans`` takes a span out only if the
    document's own words have that digest.
 
@@ -125,16 +125,16 @@ def _nodes(k: int, seed: int):
                 h = words.hashes(seed)
                 lists = rows.column("edges")
                 doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-                source, e, c = lists.flatten().flatten()
+                source = lists.flatten()
                 place = words.first[doc] + (source.to_numpy() & _PLACE)
                 nodes = run_hashes(h, k - 1) if k > 1 else np.zeros(len(h) + 1, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([e, c, source, pa.array(signed(nodes[place])), pa.array(signed(nodes[place + 1]))], names=["e", "c", "source", "before", "behind"])
+                yield pa.RecordBatch.from_arrays([source, pa.array(signed(nodes[place])), pa.array(signed(nodes[place + 1]))], names=["source", "before", "behind"])
 
     return run
 
 
 def _walks(k: int):
-    """Neighbouring places that are neighbours on one path too become a span. A step is (path, place here and place in the source in one integer)."""
+    """Neighbouring places that are neighbours in one source too become a span, along one path or from path to path. A step is (path, place here and place in the source in one integer)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +145,10 @@ def _walks(k: int):
                 path, at, source_at = path[order], places[order] >> 32, places[order] & 0xFFFFFFFF
                 keep = np.r_[True, at[1:] != at[:-1]]  # rows equal in key and text bring each place twice
                 path, at, source_at = path[keep], at[keep], source_at[keep]
-                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1) | (path[1:] != path[:-1])])
+                source = path >> _BITS
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1) | (source[1:] != source[:-1])])
                 n = np.diff(np.append(first, len(at))) + k - 1
-                for column, x in zip(out, (np.full(len(first), number), path[first] >> _BITS, at[first], source_at[first], n), strict=True):
+                for column, x in zip(out, (np.full(len(first), number), source[first], at[first], source_at[first], n), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *x]), t) for x, t in zip(out, kinds, strict=True)], names=["number", "from", "start", "source_at", "n_words"])
@@ -213,17 +214,19 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     known = edges.groupBy("e", "c").agg(F.min("pos").alias("source"), F.max("pos").alias("last")).where(number("source") < number("last")).drop("last")
 
     # The graph: each edge is read at its source
-    lists = table(known, "edges").groupBy(number("source").alias("number")).agg(F.collect_list(F.struct("source", "e", "c")).alias("edges"))
-    graph = table(texts(lists, "edges", 40).mapInArrow(_nodes(k, seed), "e long, c int, source long, before long, behind long"), "graph")
-    one = lambda end: graph.groupBy(F.col(end).alias("node")).agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a = b").select("node")
+    known = table(known, "edges")
+    lists = known.groupBy(number("source").alias("number")).agg(F.collect_list("source").alias("edges"))
+    graph = table(texts(lists, "edges", 8).mapInArrow(_nodes(k, seed), "source long, before long, behind long"), "graph")
+    one = lambda end: graph.groupBy(F.col(end).alias("node")).agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a = b").select("node")
     plain = table(one("before").join(one("behind"), "node").select(F.col("node").alias("before"), F.lit(True).alias("plain")), "nonbranching")
     along = Window.partitionBy(number("source")).orderBy("source")
     begins = F.when(F.col("plain") & (F.lag("source").over(along) == F.col("source") - 1), F.lit(None)).otherwise(F.col("source"))
     linked = graph.join(small(plain, 32), "before", "left").withColumn("begins", begins)
-    paths = linked.withColumn("path", F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).select("e", "c", "source", "path")
+    paths = linked.withColumn("path", F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).select("source", "path")
+    paths = known.join(small(table(paths, "paths"), 40), "source").dropDuplicates(["e", "c"])
 
     # Walks along the paths. As a table the small side is broadcast, or the join is a plain shuffled one whose common edges Spark can split.
-    later = edges.join(small(table(paths, "paths"), 64), ["e", "c"]).where(number("pos") > number("source"))
+    later = edges.join(small(table(paths, "on-paths"), 64), ["e", "c"]).where(number("pos") > number("source"))
     places = F.shiftleft(F.col("pos").bitwiseAND(_PLACE), 32).bitwiseOR(F.col("source").bitwiseAND(_PLACE))
     steps = later.groupBy(number("pos").alias("number")).agg(F.collect_list(F.struct("path", places.alias("places"))).alias("steps"))
     walks = table(steps.mapInArrow(_walks(k), "number long, from long, start int, source_at int, n_words int"), "walks")
