@@ -75,7 +75,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL can't express the classifier and the packing. The tests hold what each stage decides against plain Python over small tables.
+#: SQL can't express the classifier and the packing. The tests run the stages, but hold only some of their operators against brute force.
 ORACLE_SQL = None
 
 
