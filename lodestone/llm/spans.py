@@ -5,13 +5,13 @@ Edges are runs of k words (windows), nodes the runs of k - 1 words at their ends
 1. Exact copies of a text are told by its digest. They are wholly repeated and stay out of the graph.
 2. Each window has a minimizer, the least hash of m words in it; equal windows have equal minimizers. Minimizers that stand in
    one document only rule out their windows, about one row for each five words. This is exact: it never loses an edge.
-3. The other windows become edges, told apart by 96 bits of hash. One aggregation (pre-aggregated in each task, so common edges cost little)
+3. The other windows become edges, told apart by the nodes at their two ends, 128 bits of hash. One aggregation (pre-aggregated in each task, so common edges cost little)
    gives each edge its source, the document with the least key that has it; the source's coordinates (row and place) stay with the edge.
 4. A node with one edge in and one edge out is nonbranching. A join takes these nodes to the edges, and neighbouring edges of a source with such a
    node between them are compacted to a path: a window over the source's places, so no group is larger than a document.
 5. A join takes the paths to the documents. Neighbouring places that walk along a path, or from one path of a source on to its next, are a span: words
    of the document, and the place where its source has them.
-6. Each distinct stretch of a source that a span names is read there once and digested (BLAKE2, 64 bits, beside the 96 of each edge). ``remove_spans`` takes a span out only if the
+6. Each distinct stretch of a source that a span names is read there once and digested (BLAKE2, 64 bits, beside the 128 of each edge). ``remove_spans`` takes a span out only if the
    document's own words have that digest.
 
 ``repeated_spans`` gives the spans; ``remove_spans`` takes the covered words out.
@@ -90,6 +90,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(k: int, seed: int):
+    """Edges by the nodes at their ends, which share all words but the first and the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
@@ -107,28 +109,14 @@ def _edges(k: int, seed: int):
                 np.add.at(step, words.first[doc] + flat[1::2], -1)
                 at = np.flatnonzero(np.cumsum(step)[: n - k + 1] > 0)
                 at = at[words.doc[at] == words.doc[at + k - 1]]
-                check = (run_hashes(mix(h ^ _OTHER), k)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                if k > 1:
+                    nodes = run_hashes(h, k - 1)
+                    before, behind = nodes[at], nodes[at + 1]
+                else:  # all nodes are the empty run; as no two of these are equal, none counts as nonbranching
+                    before, behind = run_hashes(h, 1)[at], run_hashes(mix(h ^ _OTHER), 1)[at]
                 doc = words.doc[at]
                 pos = (rows.column("number").to_numpy()[doc] << _BITS) | (at - words.first[doc])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(run_hashes(h, k)[at])), pa.array(check), pa.array(pos)], names=["e", "c", "pos"])
-
-    return run
-
-
-def _nodes(k: int, seed: int):
-    """The nodes before and behind each edge, at its source."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, bounds, _ in chunks(batch, "__text"):
-                words = Words(data, bounds)
-                h = words.hashes(seed)
-                lists = rows.column("edges")
-                doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
-                source = lists.flatten()
-                place = words.first[doc] + (source.to_numpy() & _PLACE)
-                nodes = run_hashes(h, k - 1) if k > 1 else np.zeros(len(h) + 1, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([source, pa.array(signed(nodes[place])), pa.array(signed(nodes[place + 1]))], names=["source", "before", "behind"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(before)), pa.array(signed(behind)), pa.array(pos)], names=["before", "behind", "pos"])
 
     return run
 
@@ -209,26 +197,22 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
         return there.join(small_by(named, F.size(column) * width + 64), ["__key", "__row"]).select("number", "__text", column)
 
     wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 56)
-    edges = single.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "e long, c int, pos long")
+    edges = single.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "before long, behind long, pos long")
     number = lambda x: F.shiftright(x, _BITS)
-    known = edges.groupBy("e", "c").agg(F.min("pos").alias("source"), F.max("pos").alias("last")).where(number("source") < number("last")).drop("last")
+    known = edges.groupBy("before", "behind").agg(F.min("pos").alias("source"), F.max("pos").alias("last")).where(number("source") < number("last")).drop("last")
 
-    # The graph: each edge is read at its source
-    known = table(known, "edges")
-    lists = known.groupBy(number("source").alias("number")).agg(F.collect_list("source").alias("edges"))
-    graph = table(texts(lists, "edges", 8).mapInArrow(_nodes(k, seed), "source long, before long, behind long"), "graph")
-    one = lambda end: graph.groupBy(F.col(end).alias("node")).agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a = b").select("node")
+    # The graph: a row for each edge, at its source
+    graph = table(known, "edges")
+    one = lambda end: graph.groupBy(F.col(end).alias("node")).count().where("count = 1").select("node")
     plain = table(one("before").join(one("behind"), "node").select(F.col("node").alias("before"), F.lit(True).alias("plain")), "nonbranching")
     along = Window.partitionBy(number("source")).orderBy("source")
-    # Rows equal in key and text bring each edge twice
-    before = F.lag("source").over(along)
-    linked = graph.join(small(plain, 32), "before", "left").withColumn("last", before).where("last is null or last <> source")
-    begins = F.when(F.col("plain") & (F.col("last") == F.col("source") - 1), F.lit(None)).otherwise(F.col("source"))
-    paths = linked.withColumn("begins", begins).withColumn("path", F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0))).select("source", "path")
-    paths = known.join(small(table(paths, "paths"), 40), "source")
+    linked = graph.join(small(plain, 32), "before", "left")
+    begins = F.when(F.col("plain") & (F.lag("source").over(along) == F.col("source") - 1), F.lit(None)).otherwise(F.col("source"))
+    paths = linked.withColumn("begins", begins).withColumn("path", F.last("begins", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    paths = table(paths.select("before", "behind", "source", "path"), "paths")
 
     # Walks along the paths. As a table the small side is broadcast, or the join is a plain shuffled one whose common edges Spark can split.
-    later = edges.join(small(table(paths, "on-paths"), 64), ["e", "c"]).where(number("pos") > number("source"))
+    later = edges.join(small(paths, 64), ["before", "behind"]).where(number("pos") > number("source"))
     places = F.shiftleft(F.col("pos").bitwiseAND(_PLACE), 32).bitwiseOR(F.col("source").bitwiseAND(_PLACE))
     steps = later.groupBy(number("pos").alias("number")).agg(F.collect_list(F.struct("path", places.alias("places"))).alias("steps"))
     walks = table(steps.mapInArrow(_walks(k), "number long, from long, start int, source_at int, n_words int"), "walks")
