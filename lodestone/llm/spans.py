@@ -193,11 +193,12 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
         """The texts of numbered documents, with a list for each."""
         named = table(lists.join(small(known_as, 48), "number"), column)
         # Their few columns first, so that no other text is shuffled if the lists are
-        there = single.join(small(named.select("__key", "__row"), 48), ["__key", "__row"], "left_semi")
+        there = rows.join(small(named.select("__key", "__row"), 48), ["__key", "__row"], "left_semi")
         return there.join(small_by(named, F.size(column) * width + 64), ["__key", "__row"]).select("number", "__text", column)
 
     wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 56)
-    edges = single.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "before long, behind long, pos long")
+    # Copies have no ranges, so they need not be taken out again
+    edges = rows.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "before long, behind long, pos long")
     number = lambda x: F.shiftright(x, _BITS)
     known = edges.groupBy("before", "behind").agg(F.min("pos").alias("source"), F.max("pos").alias("last")).where(number("source") < number("last")).drop("last")
 
