@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, col, fresh_seed, grams, mix, packed, run_hashes, signed, small, small_by, table, unpacked, with_row
+from .common import Words, chunks, col, fresh_seed, grams, mix, run_hashes, signed, small, small_by, table, unpacked, with_row
 
 #: Words in a minimizer.
 MINIMIZER = 5
@@ -251,7 +251,9 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     cuts = table(cuts.mapInArrow(_dense, "__key long, __row long, cuts binary"), "cuts")
     copied = table(repeats.copies.select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct().withColumn("copy", F.lit(True)), "copied")
 
-    out = packed(docs, col(key).cast("long").alias("__key"), F.xxhash64(col(text)).alias("__row"), col(text).alias("text"))
+    # The text goes beside the other columns and not in them too
+    others = F.struct(*(col(c) for c in docs.columns if c != text)).alias("row")
+    out = docs.select(others, col(key).cast("long").alias("__key"), F.xxhash64(col(text)).alias("__row"), col(text).alias("text"))
     out = out.join(small_by(cuts, F.octet_length("cuts") + 40), ["__key", "__row"], "left")
     out = out.join(small(copied, 48), ["__key", "__row"], "left").select("row", "text", "cuts", "copy")
 
