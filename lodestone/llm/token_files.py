@@ -6,7 +6,8 @@ shards: ``payload`` holds the raw ids of some thousand documents, little-endian,
 buckets by hash, and each bucket stores bit levels that send its n keys to 0..n-1 without gap or clash, a 32-bit fingerprint for each
 (a foreign key passes it once in 4 billion times) and the shard, offset, length and global start of its ids. A lookup is one hash, one
 bucket, one slot. ``TokenFiles.locate`` and ``TokenFiles.read`` do this for any number of keys: they are dealt to the buckets,
-then to the shards. The shards are a table bucketed by shard, so that reading them moves the keys and not the payload.
+then to the shards. The shards are a table bucketed by shard, so that reading them moves the keys and not the payload. Of up to ``FEW`` keys
+the buckets, and then the shards, are named to the scans, which read no others; more keys are dealt to all of them.
 
 Defined results: a null text counts as empty and yields the end id alone; null keys and repeated keys keep all their rows (they
 stand side by side, told apart by an ordinal from 0); an empty table gives empty files; other columns are not read.
@@ -26,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, col, mix, scratch
+from .common import chunks, col, mix, scratch, table
 from .tokens import library_encoder
 
 #: Bytes of ids in a shard (a longer document has a shard of its own), and keys in a bucket.
 SHARD_BYTES, BUCKET_KEYS = 8 << 20, 50_000
+#: Most keys of a lookup whose buckets and shards are named to the scans.
+FEW = 1000
 
 _SHARDS = "shard long, n_tokens long, payload binary, keys array<long>, offsets array<long>, lengths array<long>"
 _INDEX = "bucket long, sizes array<int>, bits binary, fingerprints binary, shard binary, offset binary, n_tokens binary, start binary"
@@ -142,14 +145,31 @@ class TokenFiles:
 
     def locate(self, keys: DataFrame) -> DataFrame:
         """(key, ordinal, shard, offset, n_tokens, start) of the (key, ordinal) rows that the files hold."""
-        index = self.spark.read.schema(_INDEX).parquet(self.index)
-        asked = _hashed(keys.select(F.col("key").cast("long").alias("key"), F.col("ordinal").cast("long").alias("ordinal")), self.buckets)
-        return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_find, _PLACE)
+        return self._located(keys)[0]
 
     def read(self, keys: DataFrame) -> DataFrame:
         """(key, ordinal, n_tokens, start, ids) of these rows; ids: little-endian unsigned 32-bit integers."""
         shards = self.spark.table(self.table).select("shard", "payload")
-        return self.locate(keys).groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_fetch(self.width), "key long, ordinal long, n_tokens long, start long, ids binary")
+        places, few = self._located(keys)
+        if few:
+            places = table(places, "places")
+            shards = _only(shards, "shard", places)
+        return places.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_fetch(self.width), "key long, ordinal long, n_tokens long, start long, ids binary")
+
+    def _located(self, keys: DataFrame) -> tuple[DataFrame, bool]:
+        """The places, and whether so few were asked for that the scans are told where."""
+        index = self.spark.read.schema(_INDEX).parquet(self.index)
+        asked = _hashed(keys.select(F.col("key").cast("long").alias("key"), F.col("ordinal").cast("long").alias("ordinal")), self.buckets)
+        first = table(asked.limit(FEW + 1), "asked")
+        few = first.count() <= FEW
+        if few:
+            asked, index = first, _only(index, "bucket", first)
+        return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_find, _PLACE), few
+
+
+def _only(df: DataFrame, column: str, places: DataFrame) -> DataFrame:
+    """The rows of df whose column is one of those of the FEW places."""
+    return df.where(F.col(column).isin([r[0] for r in places.select(column).distinct().collect()]))
 
 
 def write_token_files(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> TokenFiles:

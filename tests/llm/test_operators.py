@@ -210,6 +210,24 @@ def test_token_files_repeated_and_foreign_keys(spark):
     assert files.locate(spark.createDataFrame([(5, 0), (1, 2)], "key long, ordinal long")).count() == 0
 
 
+def test_token_files_few_and_many_keys(spark, monkeypatch):
+    """A lookup of few keys reads their buckets and shards alone, and returns what a lookup dealt to all of them does."""
+    docs = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("row"), "id", F.lit("of some")).alias("text"))
+    monkeypatch.setattr(token_files, "BUCKET_KEYS", 20)
+    files = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), shard_bytes=64)
+    asked = spark.createDataFrame([(k, 0) for k in (3, 77, 1000)], "key long, ordinal long")
+    few = files.read(asked)
+    shards = {r.shard for r in files.locate(asked).collect()}
+    read = re.search(r"SelectedBucketsCount: (\d+) out of 4", few._jdf.queryExecution().toString())
+    assert len(shards) == 2 and read and int(read.group(1)) <= 2
+    got = {r.key: tuple(r) for r in few.collect()}
+    monkeypatch.setattr(token_files, "FEW", 0)
+    every = {r.key: tuple(r) for r in files.read(token_files.all_keys(docs)).collect()}
+    assert sorted(got) == [3, 77] and len(every) == 400
+    assert all(every[k] == v for k, v in got.items())
+    assert {r.key: tuple(r) for r in files.read(asked).collect()} == got
+
+
 def test_spans(spark, folder):
     got = {r.doc_id: r for r in queries.op3_debruijn_spans(spark, folder).collect()}
     words, first = [(t or "").encode().split() for t in _texts()], {}
