@@ -16,6 +16,10 @@ Edges are runs of k words (windows), nodes the runs of k - 1 words at their ends
 
 ``repeated_spans`` gives the spans; ``remove_spans`` takes the covered words out.
 
+Texts are shuffled once, into a table bucketed by key and text. Each later join with them (copies, ranges, stretches, cuts) ships the other side
+to the buckets and leaves the texts where they are, whatever the size of either. A text that one key has so often that it would outgrow
+a bucket is dealt over several (``HOT_BYTES``).
+
 Defined results: null texts have no words; rows with a null key stay out and stay whole; rows that are equal in key and text
 get equal results; rows that share a key but differ in text (told apart by 64 bits of hash) are each cut by what smaller keys have, not by each other; texts
 with fewer than k words have no windows; other columns pass through ``remove_spans`` untouched, whatever their names (the names of the two added ones are the caller's to choose).
@@ -24,14 +28,15 @@ with fewer than k words have no windows; other columns pass through ``remove_spa
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, col, fresh_seed, grams, mix, run_hashes, signed, small, small_by, table, unpacked, with_row
+from .common import Words, chunks, col, fresh_seed, grams, mix, run_hashes, scratch, signed, small, small_by, table, unpacked, with_row
 
 #: Words in a minimizer.
 MINIMIZER = 5
@@ -39,6 +44,60 @@ MINIMIZER = 5
 _BITS = 27
 _PLACE = (1 << _BITS) - 1
 _OTHER = np.uint64(0xA5A5A5A55A5A5A5A)
+#: Bytes of rows equal in key and text from which on they are dealt over several buckets, so many bytes to each.
+HOT_BYTES = 64 << 20
+#: Parts of the rows without a key or text, which meet no other table.
+_EMPTY_PARTS = 1024
+_PLACED = ["__key", "__row", "__part"]
+
+
+class Bucketed:
+    """docs as a table bucketed by key, text and part: the other columns as ``others``, and ``text``, ``digest``, ``__key``, ``__row``, ``__part``."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        spark = docs.sparkSession
+        rows = docs.select(
+            F.struct(*(col(c) for c in docs.columns if c != text)).alias("others"),
+            col(text).alias("text"),
+            F.unhex(F.md5(F.encode(col(text), "utf-8"))).alias("digest"),
+            col(key).cast("long").alias("__key"),
+            F.xxhash64(col(text)).alias("__row"),
+        )
+        there = F.col("__key").isNotNull() & F.col("text").isNotNull()
+        size = rows.where(there).groupBy("__key", "__row").agg(F.sum(F.octet_length("text") + F.lit(64).cast("long")).alias("size"))
+        self.hot = table(size.where(F.col("size") > HOT_BYTES).select("__key", "__row", F.ceil(F.col("size") / HOT_BYTES).alias("parts")), "hot")
+        deal = F.monotonically_increasing_id()
+        part = F.when(there, deal % F.coalesce("parts", F.lit(1))).otherwise(deal % _EMPTY_PARTS).cast("int")
+        rows = rows.join(small(self.hot, 48), ["__key", "__row"], "left").select("others", "text", "digest", "__key", "__row", part.alias("__part"))
+        n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+        writer = rows.repartition(n, *_PLACED).write.format("parquet").option("path", scratch(spark, "texts")).option("compression", "zstd")
+        writer.bucketBy(n, *_PLACED).sortBy(*_PLACED).saveAsTable(name)
+        self.rows = spark.table(name)
+
+    def join(self, side: DataFrame, how: str, size: Column | int) -> DataFrame:
+        """The rows with a side that has __key and __row, shuffled to the buckets or, if its bytes are few, broadcast. size: bytes of a row of the side."""
+        return self.beside(self.rows, side, how, size)
+
+    def beside(self, rows: DataFrame, side: DataFrame, how: str, size: Column | int) -> DataFrame:
+        """join() for rows that a join with another side gave."""
+        dealt = side.join(small(self.hot, 48), ["__key", "__row"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1))).drop("parts")
+        hint = small(side, size) if isinstance(size, int) else small_by(side, size)
+        return rows.join(F.broadcast(dealt) if hint is not side else dealt, _PLACED, how)
+
+
+def _once(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    """The batches without rows that have the same values as the row before: of equal rows side by side in a bucket one stays."""
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = np.column_stack([batch.column(n).to_numpy() for n in names])
+        new = np.r_[last is None or bool((values[0] != last).any()), (values[1:] != values[:-1]).any(axis=1)]
+        last = values[-1].copy()
+        if not new.all():
+            batch = batch.filter(pa.array(new))
+        if len(batch):
+            yield batch
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -52,8 +111,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def _minimizers(k: int, m: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, bounds, _ in chunks(batch, "__text"):
+        for batch in _once(batches, "__key", "__row"):
+            for rows, data, bounds, _ in chunks(batch):
                 words = Words(data, bounds)
                 h, n = words.hashes(seed), len(words.start)
                 if n < k:
@@ -93,8 +152,8 @@ def _edges(k: int, seed: int):
     """Edges by the nodes at their ends, which share all words but the first and the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, bounds, _ in chunks(batch, "__text"):
+        for batch in _once(batches, "number"):
+            for rows, data, bounds, _ in chunks(batch):
                 words = Words(data, bounds)
                 h, n = words.hashes(seed), len(words.start)
                 if n < k:
@@ -150,9 +209,9 @@ def _digest(words: list[bytes]) -> bytes:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digests of stretches of sources."""
-    for batch in batches:
+    for batch in _once(batches, "number"):
         for i in range(len(batch)):
-            words = batch.column("__text")[i].as_buffer().to_pybytes().split()
+            words = batch.column("text")[i].as_buffer().to_pybytes().split()
             at, n = (x.to_numpy() for x in batch.column("stretches")[i].values.flatten())
             digests = [_digest(words[a : a + m]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
             number = np.full(len(at), batch.column("number")[i].as_py())
@@ -165,23 +224,22 @@ class Repeats:
     row, source_row: hash of the text; digest: of the source's words.
     """
 
-    def __init__(self, copies: DataFrame, spans: DataFrame, k: int):
+    def __init__(self, copies: DataFrame, spans: DataFrame, k: int, of: tuple[DataFrame, str, str] | None = None, texts: Bucketed | None = None):
         self.copies, self.spans, self.k = copies, spans, k
+        self.of, self.texts = of, texts  # the table, key and text they were found in, and its buckets
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str = "text") -> Repeats:
     """Spans of k words and more that start in a document with a smaller key too."""
     m, seed = min(MINIMIZER, k), fresh_seed()
-    rows = docs.select(col(key).cast("long").alias("__key"), col(text).alias("__text"), F.xxhash64(col(text)).alias("__row")).where("__key is not null and __text is not null")
+    texts = Bucketed(docs, key, text)
 
-    digests = rows.select(F.col("__key").alias("key"), F.col("__row").alias("row"), F.unhex(F.md5(F.encode("__text", "utf-8"))).alias("digest"))
-    digests = table(digests, "digests")
+    digests = texts.rows.where("__key is not null and text is not null").select(F.col("__key").alias("key"), F.col("__row").alias("row"), "digest")
     several = table(digests.groupBy("digest").agg(F.min("key").alias("source"), F.max("key").alias("last")).where("source < last").drop("last"), "several")
     copies = table(digests.join(small(several, 64), "digest").where("key > source").select("key", "row", "digest", "source").distinct(), "copies")
 
-    single = rows.withColumn("__digest", F.unhex(F.md5(F.encode("__text", "utf-8"))))
-    whole = small(copies, 64).select(F.col("key").alias("__key"), F.col("digest").alias("__digest"))
-    single = single.join(whole, ["__key", "__digest"], "left_anti").select("__key", "__row", "__text")
+    whole = table(copies.select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct(), "whole")
+    single = texts.join(whole, "left_anti", 48).where("__key is not null and text is not null").select("__key", "__row", "text")
 
     places = single.mapInArrow(_minimizers(k, m, seed), "h long, key long, row long, at int, n int")
     repeated = places.select("h", "key").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h")
@@ -189,16 +247,9 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     ranges = _numbered(found.mapInArrow(_merged, "key long, row long, ranges array<int>"))
     known_as = ranges.select(F.col("key").alias("__key"), F.col("row").alias("__row"), "number")
 
-    def texts(lists: DataFrame, column: str, width: int) -> DataFrame:
-        """The texts of numbered documents, with a list for each."""
-        named = table(lists.join(small(known_as, 48), "number"), column)
-        # Their few columns first, so that no other text is shuffled if the lists are
-        there = rows.join(small(named.select("__key", "__row"), 48), ["__key", "__row"], "left_semi")
-        return there.join(small_by(named, F.size(column) * width + 64), ["__key", "__row"]).select("number", "__text", column)
-
-    wanted = small_by(ranges.withColumnsRenamed({"key": "__key", "row": "__row"}), F.size("ranges") * 4 + 56)
     # Copies have no ranges, so they need not be taken out again
-    edges = rows.join(wanted, ["__key", "__row"]).select("number", "__text", "ranges").mapInArrow(_edges(k, seed), "before long, behind long, pos long")
+    wanted = ranges.withColumnsRenamed({"key": "__key", "row": "__row"})
+    edges = texts.join(wanted, "inner", F.size("ranges") * 4 + 56).select("number", "text", "ranges").mapInArrow(_edges(k, seed), "before long, behind long, pos long")
     number = lambda x: F.shiftright(x, _BITS)
     known = edges.groupBy("before", "behind").agg(F.min("pos").alias("source"), F.max("pos").alias("last")).where(number("source") < number("last")).drop("last")
 
@@ -224,11 +275,12 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
 
     # What their sources have there
     asked = walks.groupBy(F.col("from").alias("number")).agg(F.collect_set(F.struct("source_at", "n_words")).alias("stretches"))
-    digests = texts(asked, "stretches", 24).mapInArrow(_read, "from long, source_at int, n_words int, digest binary")
+    asked = table(asked.join(small(known_as, 48), "number"), "stretches")
+    digests = texts.join(asked, "inner", F.size("stretches") * 24 + 64).select("number", "text", "stretches").mapInArrow(_read, "from long, source_at int, n_words int, digest binary")
     digests = table(digests.dropDuplicates(["from", "source_at", "n_words"]), "digests")
     sources = ranges.select(F.col("number").alias("from"), F.col("key").alias("source"), F.col("row").alias("source_row"))
     found = walks.join(small(digests, 96), ["from", "source_at", "n_words"]).join(small(sources, 48), "from").drop("from")
-    return Repeats(copies, table(found, "spans"), k)
+    return Repeats(copies, table(found, "spans"), k, (docs, key, text), texts)
 
 
 def _numbered(ranges: DataFrame) -> DataFrame:
@@ -251,11 +303,9 @@ def remove_spans(docs: DataFrame, repeats: Repeats, key: str = "doc_id", text: s
     cuts = table(cuts.mapInArrow(_dense, "__key long, __row long, cuts binary"), "cuts")
     copied = table(repeats.copies.select(F.col("key").alias("__key"), F.col("row").alias("__row")).distinct().withColumn("copy", F.lit(True)), "copied")
 
-    # The text goes beside the other columns and not in them too
-    others = F.struct(*(col(c) for c in docs.columns if c != text)).alias("row")
-    out = docs.select(others, col(key).cast("long").alias("__key"), F.xxhash64(col(text)).alias("__row"), col(text).alias("text"))
-    out = out.join(small_by(cuts, F.octet_length("cuts") + 40), ["__key", "__row"], "left")
-    out = out.join(small(copied, 48), ["__key", "__row"], "left").select("row", "text", "cuts", "copy")
+    texts = repeats.texts if repeats.of == (docs, key, text) else Bucketed(docs, key, text)
+    out = texts.join(cuts, "left", F.octet_length("cuts") + 40)
+    out = texts.beside(out, copied, "left", 48).select(F.col("others").alias("row"), "text", "cuts", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
