@@ -539,3 +539,15 @@ def test_rows_that_share_a_key(spark, folder):
     out = spans.remove_spans(docs, spans.repeated_spans(docs, k=13), joined=True).collect()
     cut = {(1, a): a, (1, b): b, (7, near): "other", (8, c): c, (8, a): "", (9, d + " " + c): d, (9, b): "", (None, a): a}
     assert sorted((r.doc_id or 0, r.text) for r in out) == sorted((i or 0, cut[i, t]) for i, t in rows)
+
+
+def test_spans_of_a_text_dealt_over_buckets(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words))] * 30 + [(2, " ".join(["x", *words[5:30], "y"]))] * 30 + [(None, "a b")] * 5 + [(3, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(spans, "HOT_BYTES", 500)
+    found = spans.repeated_spans(docs, k=13)
+    assert found.texts.hot.count() == 2
+    assert found.texts.rows.select("__key", "__part").distinct().where("__key = 1").count() > 1
+    out = [(r.doc_id, r["__n_removed"]) for r in spans.remove_spans(docs, found).collect()]
+    assert sorted(out, key=str) == sorted([(1, 0)] * 30 + [(2, 25)] * 30 + [(None, 0)] * 5 + [(3, 0)] * 5, key=str)
