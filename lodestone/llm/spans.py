@@ -10,7 +10,8 @@ Edges are runs of k words (windows), nodes the runs of k - 1 words at their ends
 4. A node with one edge in and one edge out is nonbranching. A join takes these nodes to the edges, and neighbouring edges of a source with such a
    node between them are compacted to a path: a window over the source's places, so no group is larger than a document.
 5. A join takes the paths to the documents. Neighbouring places that walk along a path, or from one path of a source on to its next, are a span: words
-   of the document, and the place where its source has them.
+   of the document, and the place where its source has them. Spans overlap by k - 1 words where a document goes on from one source to another, so of these
+   as few are kept as cover the same words: in a group of near copies, where the source changes every few words, about one for each k words.
 6. Each distinct stretch of a source that a span names is read there once and digested (BLAKE2, 64 bits, beside the 128 of each edge). ``remove_spans`` takes a span out only if the
    document's own words have that digest.
 
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, col, fresh_seed, grams, mix, run_hashes, scratch, signed, small, small_by, table, unpacked, with_row
 
-#: Words in a minimizer.
-MINIMIZER = 5
+#: Words in a minimizer at least, and the part of a window it takes: longer ones repeat less by chance, and rule out more windows.
+MINIMIZER, MINIMIZER_PART = 5, 4
 #: A place in a document and the document's number, in one integer: bits of the place, and the largest place.
 _BITS = 27
 _PLACE = (1 << _BITS) - 1
@@ -181,12 +182,16 @@ def _edges(k: int, seed: int):
 
 
 def _walks(k: int):
-    """Neighbouring places that are neighbours in one source too become a span, along one path or from path to path. A step is (path, place here and place in the source in one integer)."""
+    """Neighbouring places that are neighbours in one source too become a span, along one path or from path to path. A step is (path, place here and place in the source in one integer).
+
+    A row is cut by smaller keys only: by sources before lowest, the first number of its own key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for number, steps in zip(batch.column("number").to_pylist(), batch.column("steps"), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            taken = []
+            for lowest, steps in zip(batch.column("lowest").to_pylist(), batch.column("steps"), strict=True):
                 path, places = (x.to_numpy() for x in steps.values.flatten())
                 order = np.argsort(places, kind="stable")
                 path, at, source_at = path[order], places[order] >> 32, places[order] & 0xFFFFFFFF
@@ -195,14 +200,31 @@ def _walks(k: int):
                 source = path >> _BITS
                 first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (source_at[1:] != source_at[:-1] + 1) | (source[1:] != source[:-1])])
                 n = np.diff(np.append(first, len(at))) + k - 1
-                for column, x in zip(out, (np.full(len(first), number), source[first], at[first], source_at[first], n), strict=True):
+                smaller = source[first] < lowest
+                first, n = first[smaller], n[smaller]
+                cover = _cover(at[first], at[first] + n)
+                first, n = first[cover], n[cover]
+                taken.append(len(first))
+                for column, x in zip(out, (at[first], n, source[first], source_at[first]), strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *x]), t) for x, t in zip(out, kinds, strict=True)], names=["number", "from", "start", "source_at", "n_words"])
+            own = pa.array(np.repeat(np.arange(len(batch)), taken))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            spans = [pa.array(np.concatenate([np.empty(0, dtype=np.int64), *x]), t) for x, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(own), batch.column("row").take(own), *spans], names=["key", "row", "start", "n_words", "from", "source_at"])
 
     return run
 
 
+def _cover(start: np.ndarray, end: np.ndarray) -> list[int]:
+    """The numbers of as few stretches [start, end) as cover what all of them do. Both starts and ends ascend."""
+    further = np.maximum(np.searchsorted(start, end, side="right") - 1, np.arange(1, len(start) + 1)).tolist()
+    at, out = 0, []
+    while at < len(further):
+        out.append(at)
+        at = further[at]
+    return out
+
+
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=8).digest()
 
@@ -214,8 +236,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = batch.column("text")[i].as_buffer().to_pybytes().split()
             at, n = (x.to_numpy() for x in batch.column("stretches")[i].values.flatten())
             digests = [_digest(words[a : a + m]) for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-            number = np.full(len(at), batch.column("number")[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(at), pa.array(n), pa.array(digests, pa.binary())], names=["from", "source_at", "n_words", "digest"])
+            number, key, row = (pa.array(np.full(len(at), batch.column(c)[i].as_py())) for c in ("number", "__key", "__row"))
+            yield pa.RecordBatch.from_arrays([number, pa.array(at), pa.array(n), pa.array(digests, pa.binary()), key, row], names=["from", "source_at", "n_words", "digest", "source", "source_row"])
 
 
 class Repeats:
@@ -230,8 +252,8 @@ class Repeats:
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str = "text") -> Repeats:
-    """Spans of k words and more that start in a document with a smaller key too."""
-    m, seed = min(MINIMIZER, k), fresh_seed()
+    """Spans of k words and more that start in a document with a smaller key too; of overlapping ones as few as cover their words."""
+    m, seed = min(max(MINIMIZER, k // MINIMIZER_PART), k), fresh_seed()
     texts = Bucketed(docs, key, text)
 
     digests = texts.rows.where("__key is not null and text is not null").select(F.col("__key").alias("key"), F.col("__row").alias("row"), "digest")
@@ -267,19 +289,16 @@ def repeated_spans(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     later = edges.join(small(paths, 64), ["before", "behind"]).where(number("pos") > number("source"))
     places = F.shiftleft(F.col("pos").bitwiseAND(_PLACE), 32).bitwiseOR(F.col("source").bitwiseAND(_PLACE))
     steps = later.groupBy(number("pos").alias("number")).agg(F.collect_list(F.struct("path", places.alias("places"))).alias("steps"))
-    walks = table(steps.mapInArrow(_walks(k), "number long, from long, start int, source_at int, n_words int"), "walks")
-    # A row is cut by smaller keys only: those before the first number of its own key
     firsts = table(ranges.groupBy("key").agg(F.min("number").alias("lowest")), "firsts")
-    walks = walks.join(small(ranges.select("number", "key", "row"), 48), "number").join(small(firsts, 40), "key").where("`from` < lowest")
-    walks = table(walks.select("key", "row", "start", "n_words", "from", "source_at"), "placed")
+    own = table(ranges.select("number", "key", "row").join(small(firsts, 40), "key"), "own")
+    walks = table(steps.join(small(own, 56), "number").mapInArrow(_walks(k), "key long, row long, start int, n_words int, from long, source_at int"), "walks")
 
     # What their sources have there
     asked = walks.groupBy(F.col("from").alias("number")).agg(F.collect_set(F.struct("source_at", "n_words")).alias("stretches"))
     asked = table(asked.join(small(known_as, 48), "number"), "stretches")
-    digests = texts.join(asked, "inner", F.size("stretches") * 24 + 64).select("number", "text", "stretches").mapInArrow(_read, "from long, source_at int, n_words int, digest binary")
+    digests = texts.join(asked, "inner", F.size("stretches") * 24 + 64).select("number", "__key", "__row", "text", "stretches").mapInArrow(_read, "from long, source_at int, n_words int, digest binary, source long, source_row long")
     digests = table(digests.dropDuplicates(["from", "source_at", "n_words"]), "digests")
-    sources = ranges.select(F.col("number").alias("from"), F.col("key").alias("source"), F.col("row").alias("source_row"))
-    found = walks.join(small(digests, 96), ["from", "source_at", "n_words"]).join(small(sources, 48), "from").drop("from")
+    found = walks.join(small(digests, 112), ["from", "source_at", "n_words"]).drop("from")
     return Repeats(copies, table(found, "spans"), k, (docs, key, text), texts)
 
 

@@ -551,3 +551,38 @@ def test_spans_of_a_text_dealt_over_buckets(spark, monkeypatch):
     assert found.texts.rows.select("__key", "__part").distinct().where("__key = 1").count() > 1
     out = [(r.doc_id, r["__n_removed"]) for r in spans.remove_spans(docs, found).collect()]
     assert sorted(out, key=str) == sorted([(1, 0)] * 30 + [(2, 25)] * 30 + [(None, 0)] * 5 + [(3, 0)] * 5, key=str)
+
+
+def test_cover_by_few_stretches():
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randint(0, 12)
+        start, end = (np.array(sorted(rng.sample(range(a, a + 60), n)), dtype=np.int64) for a in (0, 8))
+        end = np.maximum(end, start + 1 + np.arange(n))
+        taken = spans._cover(start, end)
+        words = lambda picks: {w for i in picks for w in range(start[i], end[i])}  # noqa: E731, B023
+        assert words(taken) == words(range(n))
+        assert all(words(taken[:i] + taken[i + 1 :]) != words(range(n)) for i in range(len(taken)))
+
+
+def test_spans_of_near_copies_are_few(spark):
+    """Each copy differs at places of its own, so that neighbouring windows stand first in different documents: a span for each k words does, not one for each change."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        changed = set(rng.sample(range(400), 8))
+        texts.append([f"x{rng.random()}" if i in changed else w for i, w in enumerate(base)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = spans.repeated_spans(docs, k=20)
+    first: dict = {}
+    for i, w in enumerate(texts):
+        for j in range(381):
+            first.setdefault(tuple(w[j : j + 20]), i)
+    gone = {}
+    for i, w in enumerate(texts):
+        gone[i] = len({x for j in range(381) if first[tuple(w[j : j + 20])] < i for x in range(j, j + 20)})
+    assert {r.doc_id: r["__n_removed"] for r in spans.remove_spans(docs, found).collect()} == gone
+    assert sum(gone.values()) > 10000
+    assert all(r["count"] <= 2 * 400 // 20 for r in found.spans.groupBy("key").count().collect())
+    assert found.spans.count() <= 1.5 * sum(gone.values()) / 20
