@@ -4,16 +4,18 @@ A document is the set of its n-grams of k words (all its words, if these are few
 100 * |x and y| >= percent * |x or y|, so they share at least T(x) = ceil(percent * |x| / 100) n-grams. The steps:
 
 1. Equal sets are one class, told by count and BLAKE2 over the words of their n-grams; its least key stands for it.
-2. Each set lists its least p = |x| - T(x) + g(|x|) hashes. A partner's list must share r(x) = g(T(x)) or more of them. A count over all lists finds
-   the hashes that two sets list, and the sets with fewer than r(x) such hashes drop out.
+2. Each set lists its least p = |x| - T(x) + g(|x|) hashes. A partner's list must share r(x) = g(T(x)) or more of them. The lists are shuffled once,
+   by hash; a count there finds the hashes that two sets list, and the sets with fewer than r(x) such hashes drop out.
 3. Of the rest, each set skips its r(x) - 1 longest lists; a link's two sets still meet in one of the others. Sets that meet, with the
    least key in each list as the hub, form blocks: no link leaves a block.
 4. In a block all sets are compared with its pivot. Those linked to it are in one component and need not be compared with each
    other. By the triangle inequality of the Jaccard distance, of these only the ones in reach of an unlinked set are
    looked at again.
-5. The unlinked ones search: chunks of a block meet in pairs of bounded size; each query merges its short inverted lists, probes
+5. The unlinked ones search: each query merges its short inverted lists, probes
    the long ones by binary search for what the merge left, and keeps the sets that reach the required overlap.
    A task gives the edges of a forest, not all pairs.
+   A block of at most one chunk takes steps 4 and 5 in one task, to which its sets are shuffled once. In larger blocks the pivot is joined to the sets,
+   and chunks of them meet in pairs of bounded size.
 6. Components over the edges are found by alternating star steps.
 
 N-grams are told apart by 64 bits of a hash of all their words, seeded anew in each run.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, col, components, fresh_seed, grams, lower_ascii, run_hashes, signed, small, small_by, table
@@ -118,15 +120,19 @@ def _sets(k: int, seed: int):
     return run
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The overlap of two sorted sets."""
+    if not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The overlap of each set with its pivot."""
     for batch in batches:
-        shared = []
-        for own, pivot in zip(batch.column("tokens"), batch.column("pivot"), strict=True):
-            a, b = np.frombuffer(own.as_buffer(), dtype=np.uint64), np.frombuffer(pivot.as_buffer(), dtype=np.uint64)
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            shared.append(int(np.count_nonzero(b[at] == a)) if len(b) else 0)
+        shared = [_shared(np.frombuffer(own.as_buffer(), dtype=np.uint64), np.frombuffer(pivot.as_buffer(), dtype=np.uint64)) for own, pivot in zip(batch.column("tokens"), batch.column("pivot"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("block"), batch.column("tokens"), pa.array(np.array(shared, dtype=np.int64)), pa.array(np.array([len(x.as_buffer()) // 8 for x in batch.column("pivot")], dtype=np.int64))], names=["key", "block", "tokens", "shared", "pivot_n"])
 
 
@@ -164,45 +170,77 @@ def divide_skip(query: np.ndarray, vocabulary: np.ndarray, starts: np.ndarray, p
     return ids[keep], count[keep]
 
 
+def _links(keys: np.ndarray, side: np.ndarray, outer: np.ndarray, far: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links between outer sets and others as the edges of a forest; only links across where there are two sides. The inner ones are linked by the pivot."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    numbers = np.repeat(np.arange(len(sets)), n)
+    tokens = np.concatenate(sets)
+    sort = np.argsort(tokens, kind="stable")
+    tokens, postings = tokens[sort], numbers[sort]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    vocabulary, starts = tokens[first], np.append(first, len(tokens))
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    inner = [i for i in range(len(sets)) if not outer[i]]
+    for i in inner[1:]:
+        root[find(i)] = find(inner[0])
+    two = bool(side.min() != side.max())
+    out: tuple[list, list] = ([], [])
+    for i in np.flatnonzero(outer).tolist():
+        ids, shared = divide_skip(sets[i], vocabulary, starts, postings, int(_need(n[i], percent)))
+        good = (100 * shared >= percent * (n[i] + n[ids] - shared)) & (ids != i) & (np.abs(far[ids] - far[i]) <= 1 - percent / 100 + 1e-9)
+        if two:
+            good &= side[ids] != side[i]
+        for j in ids[good].tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                out[0].append(int(keys[i]))
+                out[1].append(int(keys[j]))
+    return out
+
+
+def _edges(a: list[int], b: list[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _search(percent: int):
+    """The links of two chunks of a large block."""
+
     def run(part: pa.Table) -> pa.Table:
         order = np.lexsort((part.column("key").to_numpy(), part.column("side").to_numpy()))
         part = part.take(pa.array(order))
-        keys, side, outer = (part.column(c).to_numpy() for c in ("key", "side", "outer"))
+        keys, side, outer, far = (part.column(c).to_numpy() for c in ("key", "side", "outer", "far"))
+        return _edges(*_links(keys, side, outer, far, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column("tokens")], percent))
+
+    return run
+
+
+def _block(percent: int):
+    """The links of a block that is one task: of all with the pivot, then of the unlinked ones with those in their reach."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.take(pa.array(np.argsort(part.column("key").to_numpy(), kind="stable")))
+        keys, block = part.column("key").to_numpy(), part.column("block").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column("tokens")]
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        far = part.column("far").to_numpy()
-        numbers = np.repeat(np.arange(len(sets)), n)
-        tokens = np.concatenate(sets)
-        sort = np.argsort(tokens, kind="stable")
-        tokens, postings = tokens[sort], numbers[sort]
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-        vocabulary, starts = tokens[first], np.append(first, len(tokens))
-        root = list(range(len(sets)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        inner = [i for i in range(len(sets)) if not outer[i]]
-        for i in inner[1:]:  # linked by the pivot
-            root[find(i)] = find(inner[0])
-        two = bool(side.min() != side.max())
-        out: tuple[list, list] = ([], [])
-        for i in np.flatnonzero(outer).tolist():
-            ids, shared = divide_skip(sets[i], vocabulary, starts, postings, int(_need(n[i], percent)))
-            good = (100 * shared >= percent * (n[i] + n[ids] - shared)) & (ids != i) & (np.abs(far[ids] - far[i]) <= 1 - percent / 100 + 1e-9)
-            if two:
-                good &= side[ids] != side[i]
-            for j in ids[good].tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    root[a] = b
-                    out[0].append(int(keys[i]))
-                    out[1].append(int(keys[j]))
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+        pivot = sets[0]  # the block is named by its least key
+        shared = np.array([_shared(s, pivot) for s in sets], dtype=np.int64)
+        union = n + len(pivot) - shared
+        outer, far = 100 * shared < percent * union, 1 - shared / np.maximum(union, 1)
+        direct = np.flatnonzero(~outer & (keys != block))
+        out = keys[direct].tolist(), block[direct].tolist()
+        if outer.any():
+            taken = np.flatnonzero(outer | (far >= far[outer].min() - (1 - percent / 100) - 1e-9))
+            found = _links(keys[taken], np.zeros(len(taken), dtype=np.int64), outer[taken], far[taken], [sets[i] for i in taken.tolist()], percent)
+            out = out[0] + found[0], out[1] + found[1]
+        return _edges(*out)
 
     return run
 
@@ -221,19 +259,24 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     # 2. lists, and the sets that share enough of theirs
     lists = single.mapInArrow(_lists(k, percent, seed), "t long, key long, n int")
-    shared = lists.groupBy("t").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("df")).where("a < b").select("t", "df")
-    met = lists.join(shared, "t").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("lists"))
+    same = Window.partitionBy("t")
+    shared = lists.select("t", "key", "n", F.min("key").over(same).alias("a"), F.max("key").over(same).alias("b"), F.count("*").over(same).alias("df")).where("a < b")
+    met = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("lists"))
     need = f"(({percent} * n + 99) div 100)"
     least = f"least({need} * {MARGIN} div 100 + 1, {need})"
     kept = table(met.where(f"size(lists) >= {least}").selectExpr("key", f"transform(slice(lists, 1, cast(size(lists) - {least} + 1 as int)), x -> x.t) as kept"), "kept")
 
     # 3. blocks
     meets = kept.select("key", F.explode("kept").alias("t"))
-    hubs = table(meets.groupBy("t").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").drop("last"), "hubs")
-    blocks = table(components(meets.join(small(hubs, 40), "t").where("key > hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))), "blocks").select(F.col("id").alias("__key"), F.col("component").alias("block"))
-
-    # 4. all against the pivot
-    sets = table(rows.join(small(blocks, 40), "__key").mapInArrow(_sets(k, seed), "key long, block long, tokens binary"), "tokens")
+    hubs = meets.select(F.col("key").alias("a"), F.min("key").over(same).alias("b")).where("a > b")
+    blocks = table(components(hubs), "blocks").select(F.col("id").alias("__key"), F.col("component").alias("block"))
+    # Empty sets, of a key with other texts too, link with nothing
+    sets = table(rows.join(small(blocks, 40), "__key").mapInArrow(_sets(k, seed), "key long, block long, tokens binary").where("octet_length(tokens) > 0"), "tokens")
+    large = table(sets.groupBy("block").count().where(F.col("count") > chunk).select("block"), "large")
+    near = sets.join(small(large, 32), "block", "left_anti").groupBy("block").applyInArrow(_block(percent), "a long, b long")
+
+    # 4. all of a large block against the pivot
+    sets = sets.join(small(large, 32), "block", "left_semi")
     pivots = table(sets.where("key = block").select("block", F.col("tokens").alias("pivot")), "pivots")
     measured = table(sets.join(small_by(pivots, F.octet_length("pivot") + 40), "block").mapInArrow(_overlaps, "key long, block long, tokens binary, shared long, pivot_n long").withColumn("n", F.expr("octet_length(tokens) div 8")).selectExpr("key", "block", "tokens", f"not (100 * shared >= {percent} * (n + pivot_n - shared)) as outer", "1 - shared / (n + pivot_n - shared) as far"), "measured")
     direct = measured.where("not outer and key <> block").select(F.col("key").alias("a"), F.col("block").alias("b"))
@@ -250,5 +293,5 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     # 6. components
     own = classes.join(mixed, "key").where("key <> cls").select(F.col("key").alias("a"), F.col("cls").alias("b"))
-    linked = components(direct.unionByName(found).unionByName(own))
+    linked = components(near.unionByName(direct).unionByName(found).unionByName(own))
     return classes.join(linked.select(F.col("id").alias("cls"), "component"), "cls", "left").select("key", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("component_id"))

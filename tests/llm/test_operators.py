@@ -553,6 +553,50 @@ def test_spans_of_a_text_dealt_over_buckets(spark, monkeypatch):
     assert sorted(out, key=str) == sorted([(1, 0)] * 30 + [(2, 25)] * 30 + [(None, 0)] * 5 + [(3, 0)] * 5, key=str)
 
 
+def test_lists_are_shuffled_once(spark, folder, monkeypatch):
+    """One pass over the texts makes the lists of op 4; their count and the search for sets that share them take the same shuffle."""
+    seen, plain = spark.sparkContext.accumulator(0), near_join._lists
+
+    def counted(*args):
+        run = plain(*args)
+
+        def counting(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield from run([batch])
+
+        return counting
+
+    monkeypatch.setattr(near_join, "_lists", counted)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    classes = {r.class_id for r in near_join.near_components(docs, 4, 85).collect() if r.n_shingles}
+    without = sum(not (t or "").encode().split() for t in _texts())
+    assert seen.value == len(classes) + without
+
+
+@pytest.mark.parametrize("chunk", [500, 1])
+def test_near_join_of_keys_with_an_empty_text_too(spark, chunk):
+    """Two texts that meet in a block but don't link, each beside an empty text of the same key."""
+    rng = random.Random(4)
+    a = [f"w{rng.random()}" for _ in range(1000)]
+    b = [f"v{i}" if i % 40 == 0 else w for i, w in enumerate(a)]
+    docs = spark.createDataFrame([(1, " ".join(a)), (1, ""), (2, " ".join(b)), (2, "")], "doc_id long, text string")
+    assert {(r.key, r.component_id) for r in near_join.near_components(docs, 4, 85, chunk=chunk).collect()} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("chunk", [500, 7])
+def test_near_join_of_a_chain(spark, chunk):
+    """Neighbours in a chain of texts link, its ends don't: one component, which the pivot alone doesn't give."""
+    rng = random.Random(5)
+    rows, words = [], [f"w{rng.random()}" for _ in range(500)]
+    for i in range(30):
+        words = [f"{i}v{rng.random()}" if j % 100 == i else w for j, w in enumerate(words)]
+        rows.append((i, " ".join(words)))
+    rows.append((99, " ".join([*words[:300], *(f"u{rng.random()}" for _ in range(200))])))
+    got = {r.key: r.component_id for r in near_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, chunk=chunk).collect()}
+    assert got == {**dict.fromkeys(range(30), 0), 99: 99}
+
+
 def test_cover_by_few_stretches():
     rng = random.Random(6)
     for _ in range(200):
