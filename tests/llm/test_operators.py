@@ -630,3 +630,6 @@ def test_spans_of_near_copies_are_few(spark):
     assert sum(gone.values()) > 10000
     assert all(r["count"] <= 2 * 400 // 20 for r in found.spans.groupBy("key").count().collect())
     assert found.spans.count() <= 1.5 * sum(gone.values()) / 20
+    for key in gone:
+        at = sorted((r.start, r.start + r.n_words) for r in found.spans.where(f"key = {key}").collect()) if key % 10 == 9 else []
+        assert all(c[0] > a[1] for a, c in zip(at, at[2:], strict=False))  # none between two that touch
