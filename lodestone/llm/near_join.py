@@ -6,14 +6,15 @@ A document is the set of its n-grams of k words (all its words, if these are few
 1. Equal sets are one class, told by count and BLAKE2 over the words of their n-grams; its least key stands for it.
 2. Each set lists its least p = |x| - T(x) + g(|x|) hashes. A partner's list must share r(x) = g(T(x)) or more of them. The lists are shuffled once,
    by hash; a count there finds the hashes that two sets list, and the sets with fewer than r(x) such hashes drop out.
-3. Of the rest, each set skips its r(x) - 1 longest lists; a link's two sets still meet in one of the others. Sets that meet, with the
+3. The rest list all their hashes. A set must share T(x) of them with others that are left, which chance and common lines seldom give, however
+   large the input. It then skips its T(x) - 1 longest lists; a link's two sets still meet in one of the others. Sets that meet, with the
    least key in each list as the hub, form blocks: no link leaves a block.
 4. In a block all sets are compared with its pivot. Those linked to it are in one component and need not be compared with each
    other. By the triangle inequality of the Jaccard distance, of these only the ones in reach of an unlinked set are
    looked at again.
 5. The unlinked ones search: each query merges its short inverted lists, probes
    the long ones by binary search for what the merge left, and keeps the sets that reach the required overlap.
-   A task gives the edges of a forest, not all pairs.
+   A task gives the edges of a forest, not all pairs, and sets of the tree that holds the linked ones don't search: of a link between two trees one side does.
    A block of at most one chunk takes steps 4 and 5 in one task, to which its sets are shuffled once. In larger blocks the pivot is joined to the sets,
    and chunks of them meet in pairs of bounded size.
 6. Components over the edges are found by alternating star steps.
@@ -27,7 +28,7 @@ that share a key are one node, linked by any of its texts; other columns are not
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from .common import Words, chunks, col, components, fresh_seed, grams, lower_asc
 
 #: Sets in a chunk of a block; share of a set, in percent, by which the lists of step 2 are longer than they must.
 CHUNK, MARGIN = 500, 15
+#: Sets in a list up to which it is merged, not probed.
+SHORT = 64
 
 
 def _need(n, percent: int):
@@ -97,19 +100,31 @@ def _signatures(k: int, seed: int):
     return run
 
 
-def _lists(k: int, percent: int, seed: int):
+def _listed(k: int, seed: int, most: Callable[[np.ndarray], np.ndarray]):
+    """Of each set its least hashes; most gives how many, by the set's size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, bounds, _ in chunks(batch, "__text"):
                 sets = list(shingle_sets(data, bounds, k, seed))
                 n = np.array([len(s) for s in sets], dtype=np.int64)
-                p = np.minimum(n, n - _need(n, percent) + _margin(n))
+                p = most(n)
                 tokens = np.concatenate([s[:q] for s, q in zip(sets, p.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(tokens)), pa.array(np.repeat(rows.column("__key").to_numpy(), p)), pa.array(np.repeat(n, p), pa.int32())], names=["t", "key", "n"])
 
     return run
 
 
+def _lists(k: int, percent: int, seed: int):
+    return _listed(k, seed, lambda n: np.minimum(n, n - _need(n, percent) + _margin(n)))
+
+
+def _shared_lists(lists: DataFrame) -> DataFrame:
+    """The listed hashes that another key lists too, with the length of their lists."""
+    same = Window.partitionBy("t")
+    return lists.select("t", "key", "n", F.min("key").over(same).alias("a"), F.max("key").over(same).alias("b"), F.count("*").over(same).alias("df")).where("a < b")
+
+
 def _sets(k: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,16 +162,16 @@ def divide_skip(query: np.ndarray, vocabulary: np.ndarray, starts: np.ndarray, p
     if len(at) < need:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     length = starts[at + 1] - starts[at]
-    at = at[np.argsort(length, kind="stable")]
-    # The longest lists are probed. As many as the threshold leaves, less where the lists are short anyway.
-    longest = int(length.max())
-    long = min(need - 1, int(need / (0.0085 * np.log2(max(2, longest)) + 1)))
+    order = np.argsort(length, kind="stable")
+    at, length = at[order], length[order]
+    # The longest lists are probed. As many as the threshold leaves, less where the lists are short anyway; a short list costs less to merge.
+    long = min(need - 1, int(need / (0.0085 * np.log2(max(2, int(length[-1]))) + 1)), int(np.count_nonzero(length > SHORT)))
     short, far = at[: len(at) - long], at[len(at) - long :]
-    merged = np.sort(np.concatenate([postings[starts[i] : starts[i + 1]] for i in short.tolist()]), kind="stable")
-    ids, first = np.unique(merged, return_index=True)
-    count = np.diff(np.append(first, len(merged)))
-    keep = count >= need - long
-    ids, count = ids[keep], count[keep]
+    length = length[: len(short)]
+    ends = np.cumsum(length)
+    count = np.bincount(postings[np.repeat(starts[short] - ends + length, length) + np.arange(ends[-1])])
+    ids = np.flatnonzero(count >= need - long)
+    count = count[ids]
     for left, i in zip(range(long, 0, -1), far.tolist(), strict=True):
         keep = count + left >= need
         ids, count = ids[keep], count[keep]
@@ -170,8 +185,8 @@ def divide_skip(query: np.ndarray, vocabulary: np.ndarray, starts: np.ndarray, p
     return ids[keep], count[keep]
 
 
-def _links(keys: np.ndarray, side: np.ndarray, outer: np.ndarray, far: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links between outer sets and others as the edges of a forest; only links across where there are two sides. The inner ones are linked by the pivot."""
+def _links(keys: np.ndarray, outer: np.ndarray, far: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links between outer sets and others as the edges of a forest. The inner ones are linked by the pivot."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
     numbers = np.repeat(np.arange(len(sets)), n)
     tokens = np.concatenate(sets)
@@ -190,13 +205,14 @@ def _links(keys: np.ndarray, side: np.ndarray, outer: np.ndarray, far: np.ndarra
     inner = [i for i in range(len(sets)) if not outer[i]]
     for i in inner[1:]:
         root[find(i)] = find(inner[0])
-    two = bool(side.min() != side.max())
+    trunk = inner[0] if inner else 0
     out: tuple[list, list] = ([], [])
     for i in np.flatnonzero(outer).tolist():
+        # Of two sets that link, one searches, or both are of the trunk's tree already.
+        if find(i) == find(trunk):
+            continue
         ids, shared = divide_skip(sets[i], vocabulary, starts, postings, int(_need(n[i], percent)))
         good = (100 * shared >= percent * (n[i] + n[ids] - shared)) & (ids != i) & (np.abs(far[ids] - far[i]) <= 1 - percent / 100 + 1e-9)
-        if two:
-            good &= side[ids] != side[i]
         for j in ids[good].tolist():
             a, b = find(i), find(j)
             if a != b:
@@ -214,10 +230,9 @@ def _search(percent: int):
     """The links of two chunks of a large block."""
 
     def run(part: pa.Table) -> pa.Table:
-        order = np.lexsort((part.column("key").to_numpy(), part.column("side").to_numpy()))
-        part = part.take(pa.array(order))
-        keys, side, outer, far = (part.column(c).to_numpy() for c in ("key", "side", "outer", "far"))
-        return _edges(*_links(keys, side, outer, far, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column("tokens")], percent))
+        part = part.take(pa.array(np.argsort(part.column("key").to_numpy(), kind="stable")))
+        keys, outer, far = (part.column(c).to_numpy() for c in ("key", "outer", "far"))
+        return _edges(*_links(keys, outer, far, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column("tokens")], percent))
 
     return run
 
@@ -238,7 +253,7 @@ def _block(percent: int):
         out = keys[direct].tolist(), block[direct].tolist()
         if outer.any():
             taken = np.flatnonzero(outer | (far >= far[outer].min() - (1 - percent / 100) - 1e-9))
-            found = _links(keys[taken], np.zeros(len(taken), dtype=np.int64), outer[taken], far[taken], [sets[i] for i in taken.tolist()], percent)
+            found = _links(keys[taken], outer[taken], far[taken], [sets[i] for i in taken.tolist()], percent)
             out = out[0] + found[0], out[1] + found[1]
         return _edges(*out)
 
@@ -259,16 +274,15 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     # 2. lists, and the sets that share enough of theirs
     lists = single.mapInArrow(_lists(k, percent, seed), "t long, key long, n int")
-    same = Window.partitionBy("t")
-    shared = lists.select("t", "key", "n", F.min("key").over(same).alias("a"), F.max("key").over(same).alias("b"), F.count("*").over(same).alias("df")).where("a < b")
-    met = shared.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("lists"))
     need = f"(({percent} * n + 99) div 100)"
     least = f"least({need} * {MARGIN} div 100 + 1, {need})"
-    kept = table(met.where(f"size(lists) >= {least}").selectExpr("key", f"transform(slice(lists, 1, cast(size(lists) - {least} + 1 as int)), x -> x.t) as kept"), "kept")
+    met = table(_shared_lists(lists).groupBy("key", "n").count().where(f"count >= {least}").select("key").distinct(), "met")
 
-    # 3. blocks
-    meets = kept.select("key", F.explode("kept").alias("t"))
-    hubs = meets.select(F.col("key").alias("a"), F.min("key").over(same).alias("b")).where("a > b")
+    # 3. all hashes of those, and blocks
+    whole = single.join(small(met, 32).withColumnRenamed("key", "__key"), "__key").mapInArrow(_listed(k, seed, lambda n: n), "t long, key long, n int")
+    kept = _shared_lists(whole).groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("lists")).where(f"size(lists) >= {need}")
+    meets = table(kept.selectExpr("key", f"explode(transform(slice(lists, 1, cast(size(lists) - {need} + 1 as int)), x -> x.t)) as t"), "meets")
+    hubs = meets.select(F.col("key").alias("a"), F.min("key").over(Window.partitionBy("t")).alias("b")).where("a > b")
     blocks = table(components(hubs), "blocks").select(F.col("id").alias("__key"), F.col("component").alias("block"))
     # Empty sets, of a key with other texts too, link with nothing
     sets = table(rows.join(small(blocks, 40), "__key").mapInArrow(_sets(k, seed), "key long, block long, tokens binary").where("octet_length(tokens) > 0"), "tokens")
@@ -287,7 +301,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     taking = measured.join(small(reach, 40), "block").where(f"outer or far >= nearest - (1 - {percent} / 100) - 1e-9").drop("nearest")
     parts = table(taking.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")), "parts")
     dealt = taking.join(small(parts, 40), "block").withColumn("side", F.pmod(F.hash("key"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "key", "side", "outer", "far", "tokens")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "key", "outer", "far", "tokens")
     # Dealt by the pair of chunks; else the joins' partitioning by block would keep a block's pairs in one task.
     found = dealt.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(_search(percent), "a long, b long")
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,6 +598,58 @@ def test_near_join_of_a_chain(spark, chunk):
     assert got == {**dict.fromkeys(range(30), 0), 99: 99}
 
 
+def test_chance_makes_no_large_block(spark, monkeypatch):
+    """Texts of few words share many n-grams with one another by chance, but not enough to link: they don't meet, however many they are."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(30, 60))) for _ in range(600)]
+    texts += [f"{t} x" for t in texts[:20]]
+    blocks, plain = [], near_join.table
+
+    def kept(df, name):
+        out = plain(df, name)
+        if name == "blocks":
+            blocks.extend(r["count"] for r in out.groupBy("component").count().collect())
+        return out
+
+    monkeypatch.setattr(near_join, "table", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.key: r.component_id for r in near_join.near_components(docs, 4, 85).collect()}
+    assert got == {i: i - 600 if i >= 600 else i for i in range(620)}
+    assert sum(blocks) < 100
+
+
+def test_few_sets_of_a_linked_group_search(monkeypatch):
+    """Of a group whose sets all link few search, and each outlier."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(63) for _ in range(400)]
+    sets = [np.array(sorted([*rng.sample(base, 390), *(rng.getrandbits(63) for _ in range(5))]), dtype=np.uint64) for _ in range(200)]
+    sets += [np.array(sorted([*base[:200], *(rng.getrandbits(63) for _ in range(200))]), dtype=np.uint64) for _ in range(10)]
+    searches, plain = [], near_join.divide_skip
+    monkeypatch.setattr(near_join, "divide_skip", lambda *args: searches.append(1) or plain(*args))
+    part = pa.table({"key": pa.array(range(210), pa.int64()), "block": pa.array([0] * 210, pa.int64()), "side": pa.array([i % 2 for i in range(210)], pa.int32()), "outer": [True] * 210, "far": [0.5] * 210, "tokens": pa.array([x.tobytes() for x in sets], pa.binary())})
+    edges = near_join._search(85)(part)
+    root = list(range(210))
+    for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root[:200])) == 1 and len(set(root)) == 11
+    assert len(searches) <= 20
+
+
+def test_divide_skip():
+    """Lists of one to all sets, merged and probed, against brute force."""
+    rng = random.Random(10)
+    common = [rng.getrandbits(63) for _ in range(80)]
+    sets = [np.unique(np.array([*rng.sample(common, rng.randint(1, 80)), *range(i % 7, 300, 7 + i % 3)], dtype=np.uint64)) for i in range(150)]
+    tokens, numbers = np.concatenate(sets), np.repeat(np.arange(150), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    vocabulary, first = np.unique(tokens[order], return_index=True)
+    for query in sets:
+        shared = np.array([len(np.intersect1d(query, s)) for s in sets])
+        for need in (1, len(query) // 2 + 1, len(query)):
+            ids, count = near_join.divide_skip(query, vocabulary, np.append(first, len(tokens)), numbers[order], need)
+            assert ids.tolist() == np.flatnonzero(shared >= need).tolist() and count.tolist() == shared[ids].tolist()
+
+
 def test_cover_by_few_stretches():
     rng = random.Random(6)
     for _ in range(200):
