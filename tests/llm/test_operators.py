@@ -618,6 +618,27 @@ def test_chance_makes_no_large_block(spark, monkeypatch):
     assert sum(blocks) < 100
 
 
+def test_chance_makes_no_large_block_in_the_pipeline(spark, monkeypatch):
+    """Its second stage over texts that share n-grams of five words by chance: only the copies meet, and they go."""
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghi") for _ in range(rng.randint(35, 60))) for _ in range(600)]
+    texts += [f"{t} x" for t in texts[:20]]
+    blocks, plain = [], near_join.table
+
+    def kept(df, name):
+        out = plain(df, name)
+        if name == "blocks":
+            blocks.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_join, "table", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.ngram_jaccard_join(spark, docs, "").collect()) == list(range(600))
+    assert 40 <= sum(blocks) < 100
+
+
 def test_few_sets_of_a_linked_group_search(monkeypatch):
     """Of a group whose sets all link few search, and each outlier."""
     rng = random.Random(9)
